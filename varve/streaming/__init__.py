@@ -1,0 +1 @@
+"""The data model has no streaming operators; see README."""
