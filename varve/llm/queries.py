@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from varve.llm import clusters
 from varve.llm import cutoffs as cut
 from varve.llm import neighbours, percentiles, tables, topn
 from varve.session import Scratch, table
@@ -143,6 +144,31 @@ judged as (select *, count(*) over (partition by dataset, field_name) as n_days
 select j.dataset, strftime(j.day, '%Y-%m-%d') as measured_on, j.field_name from judged j join wide w on w.day is null and w.dataset = j.dataset and w.field_name = j.field_name
 where j.n_days >= 10 and (j.p10 >= 1.5 * w.p10 or j.p10 * 1.5 <= w.p10 or j.p50 >= 1.5 * w.p50 or j.p50 * 1.5 <= w.p50 or j.p90 >= 1.5 * w.p90 or j.p90 * 1.5 <= w.p90)"""
 
+
+def _p5_groups(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    scratch = Scratch(spark, "p5")
+    real = table(spark, d, "runs").where("kind = 'real'").select("run_id", "project").distinct()
+    member = table(spark, d, "membership")
+    top = member.groupBy("run_id").agg(F.max("lvl").alias("lvl"))
+    rows = member.join(top, ["run_id", "lvl"]).join(real, "run_id")
+    split = rows.groupBy("run_id").agg(F.min("cluster_id").alias("a"), F.max("cluster_id").alias("b")).where("a < b")
+    nodes, members = clusters.label_lists(rows.join(split, "run_id", "left_semi"), "project", "cell_id", "run_id", "cluster_id")
+    nodes, members = scratch.save(nodes, "nodes"), scratch.save(members, "members")
+    return scratch.save(clusters.groups(nodes, members, 60), "groups"), nodes
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    placed = _p5_groups(spark, d)[0]
+    return placed.where("record <> lead").select(F.col("lead").alias("cell_a"), F.col("record").alias("cell_b"))
+
+
+def p5_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Every group of at least two cells with its size and its three most typical cells."""
+    placed, nodes = _p5_groups(spark, d)
+    best = clusters.typical(placed.where("size > 1"), nodes, 3)
+    return best.select(F.col("scope").alias("project"), F.col("lead").alias("group_cell"), F.col("size").alias("n_cells"), "place", F.col("record").alias("cell_id"), F.round("likeness", 6).alias("likeness"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_top_tests": p1_top_tests,
@@ -153,6 +179,8 @@ QUERIES = {
     "p4_found": p4_found,
     "p4_percentiles": p4_percentiles,
     "p4_combined": p4_combined,
+    "p5_found": p5_found,
+    "p5_groups": p5_groups,
 }
 ORACLES = {
     "p1_found": P1_SQL.format("contrast_group, cluster_id, gene_id"),
