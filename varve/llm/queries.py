@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from varve.llm import clusters
 from varve.llm import cutoffs as cut
-from varve.llm import neighbours, percentiles, tables, topn
+from varve.llm import leaks, neighbours, packing, percentiles, tables, topn
 from varve.session import Scratch, table
 
 
@@ -169,6 +169,26 @@ def p5_groups(spark: SparkSession, d: str) -> DataFrame:
     return best.select(F.col("scope").alias("project"), F.col("lead").alias("group_cell"), F.col("size").alias("n_cells"), "place", F.col("record").alias("cell_id"), F.round("likeness", 6).alias("likeness"))
 
 
+def p6_containers(spark: SparkSession, d: str, vocabulary: str = "/opt/tokenizers/byte_bpe_50k.json") -> DataFrame:
+    """Every post, or piece of one, with its tokens and its container of 2,048 tokens."""
+    sizes = packing.token_counts(table(spark, d, "documents"), vocabulary)
+    return packing.pack(sizes, 2048)
+
+
+def _p7(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leaks(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "eval_items").select("item_id", "text"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return _p7(spark, d).where(F.col("run") >= leaks.PASSAGE).select("doc_id", "item_id")
+
+
+def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
+    """Posts and items whose best alignment scores as much as PASSAGE equal words, edited copies among them."""
+    found = _p7(spark, d).where(F.col("score") >= leaks.MATCH * leaks.PASSAGE)
+    return found.select("doc_id", "item_id", "score", F.col("run").alias("longest_run"), F.round("share", 6).alias("share"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_top_tests": p1_top_tests,
@@ -181,6 +201,9 @@ QUERIES = {
     "p4_combined": p4_combined,
     "p5_found": p5_found,
     "p5_groups": p5_groups,
+    "p6_containers": p6_containers,
+    "p7_found": p7_found,
+    "p7_leaks": p7_leaks,
 }
 ORACLES = {
     "p1_found": P1_SQL.format("contrast_group, cluster_id, gene_id"),
