@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from varve.llm import clusters
 from varve.llm import cutoffs as cut
-from varve.llm import leaks, neighbours, packing, percentiles, tables, topn
+from varve.llm import leaks, neighbours, packing, percentiles, spam, tables, topn
 from varve.session import Scratch, table
 
 
@@ -189,6 +189,17 @@ def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
     return found.select("doc_id", "item_id", "score", F.col("run").alias("longest_run"), F.round("share", 6).alias("share"))
 
 
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return spam.stuffed(table(spark, d, "documents")).select("doc_id")
+
+
+def p8_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Every post with own words, its perplexity under the prose model and its entries."""
+    found = spam.scored(table(spark, d, "documents"))
+    return found.select("doc_id", F.round("perplexity", 4).alias("perplexity"), F.round("odd", 6).alias("odd_share"), "entries", F.col("inside").alias("entry_words"), F.col("total").alias("own_words"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_top_tests": p1_top_tests,
@@ -204,6 +215,8 @@ QUERIES = {
     "p6_containers": p6_containers,
     "p7_found": p7_found,
     "p7_leaks": p7_leaks,
+    "p8_found": p8_found,
+    "p8_scores": p8_scores,
 }
 ORACLES = {
     "p1_found": P1_SQL.format("contrast_group, cluster_id, gene_id"),
