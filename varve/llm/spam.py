@@ -45,11 +45,15 @@ BULLET = re.compile(r"^\s*(?:\d+[.)]|[*\u2022+-])\s+")
 IMAGE = re.compile(r"\[img\].*?\[/img\]|<img\b[^<>]*>", re.I | re.S)
 OTHER_TAG = re.compile(r"</?[a-zA-Z][^<>]*>|\[/?(?:url|img|code|list|size|color|email|b|i|u|s|\*)(?:=[^\[\]]*)?\]", re.I)
 SIGNATURE = re.compile(r"^[ \t]*(?:--[ \t]*|_{5,}[ \t]*)$", re.M)
-QUOTED_LINE = re.compile(r"^[ \t]*(?:>|(?:\|[ \t]*)+(?!.*\|))")
+QUOTED_LINE = re.compile(r"^[ \t]*(?:[| \t]*>|(?:\|[ \t]*)+(?!.*\|))")
 LINK, MORE = "\ue000", "\ue001"
 URL = re.compile(r"(?:https?://|www\.)[^\s<>\[\]\"|]+", re.I)
 TOKEN = re.compile(r"\ue000|#\w+|\w+|[^\w\s\ue001]")
 WORD = re.compile(r"[^\W_]+")
+# A name with a number, such as a marker's, as against a word with digits in place of letters.
+CODE_WORD = re.compile(r"[A-Za-z]+\d+")
+LETTER_DIGITS = re.compile(r"[0134]+")
+LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def _link(address: str) -> str:
@@ -213,8 +217,8 @@ def entries(own: str) -> tuple[int, int, int]:
                     continue
                 found += max(links, tags)
             else:
-                codes = sum(not w.isalpha() and not w.isdigit() for w in words)
-                plain = sum(w.isalpha() for w in words)
+                codes = sum(bool(CODE_WORD.fullmatch(w)) and not LETTER_DIGITS.fullmatch(w.lstrip(LETTERS)) for w in words)
+                plain = sum(not w.isdigit() for w in words) - codes
                 if named > 0.12 * len(words) or codes > 0.3 * len(words) or plain < 0.4 * len(words):
                     continue
                 parts = sum(1 for p in sentence.split(",") if WORD.search(p))
