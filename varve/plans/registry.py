@@ -1,4 +1,8 @@
 """All core queries by name, and the SQL of those it can express."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from varve.plans import retail, single_cell, vectors
+
+QUERIES = retail.QUERIES | single_cell.QUERIES | vectors.QUERIES
+ORACLES = retail.ORACLES | single_cell.ORACLES | vectors.ORACLES
