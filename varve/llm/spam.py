@@ -150,10 +150,13 @@ def prose_model(texts: DataFrame) -> dict[str, int]:
                     found = _prose(sentence)
                     if found:
                         chain = "^" * (ORDER - 1) + "".join(found)
-                        counts.update(chain[i - n : i] for i in range(ORDER, len(chain) + 1) for n in range(1, ORDER + 1))
+                        counts.update([chain[i - ORDER : i] for i in range(ORDER, len(chain) + 1)])
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["gram", "n"])
 
-    table = texts.select("own").mapInArrow(run, "gram string, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
+    longest = texts.select("own").mapInArrow(run, "gram string, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
+    # every symbol ends one longest n-gram, so the shorter ones are counted by their ends
+    ends = F.explode(F.transform(F.sequence(F.lit(1), F.lit(ORDER)), lambda k: F.substring("gram", F.lit(ORDER + 1) - k, k)))
+    table = longest.select(ends.alias("gram"), "n").groupBy("gram").agg(F.sum("n").alias("n"))
     return {r.gram: r.n for r in table.where("n > 1 or length(gram) < 3").toLocalIterator()}
 
 
