@@ -32,7 +32,7 @@ class CountTree:
     """Node counts of the scores of every source, kept as a table that batches are added to."""
 
     def __init__(self, spark: SparkSession, path: str, keys: Sequence[str]):
-        self.spark, self.path, self.keys = spark, path, list(keys)
+        self.spark, self.path, self.keys, self.schema = spark, path, list(keys), None
 
     def add(self, batch: DataFrame, score: str, sign: int = 1) -> None:
         """Adds (sign 1) or takes back (sign -1) the batch's records; null and NaN scores are left out."""
@@ -40,10 +40,12 @@ class CountTree:
         leaves = batch.where(value.isNotNull() & ~F.isnan(value)).groupBy(*self.keys, code(value).alias("code")).agg(F.count("*").alias("n"))
         levels = F.explode(F.array(*(F.struct(F.lit(level).alias("level"), F.shiftright("code", DEPTH - level).alias("node")) for level in range(STRIDE, DEPTH + 1, STRIDE))))
         nodes = leaves.select(*self.keys, levels.alias("at"), "n").groupBy(*self.keys, F.col("at.level").alias("level"), F.col("at.node").alias("node")).agg((F.sum("n") * sign).alias("n"))
+        self.schema = nodes.schema
         nodes.write.mode("append").partitionBy("level").parquet(self.path)
 
     def nodes(self, level: int) -> DataFrame:
-        rows = self.spark.read.parquet(self.path).where(F.col("level") == level)
+        read = self.spark.read.schema(self.schema) if self.schema else self.spark.read
+        rows = read.parquet(self.path).where(F.col("level") == level)
         return rows.groupBy(*self.keys, "node").agg(F.sum("n").alias("n")).where("n <> 0")
 
     def totals(self) -> DataFrame:
@@ -88,6 +90,6 @@ def cutoffs(records: DataFrame, targets: DataFrame, keys: Sequence[str], score:
     """
     if add:
         tree.add(records, score)
-    goals = targets.where(F.col("keep_pct").between(0, 100)).join(tree.totals(), list(keys))
+    goals = targets.select(*keys, "keep_pct").where(F.col("keep_pct").between(0, 100)).join(tree.totals(), list(keys))
     ranks = goals.withColumn("rank", F.greatest(F.lit(1), F.ceil(F.col("keep_pct") * F.col("n") / 100)).cast("long"))
     return refine(tree.descend(ranks), records, keys, score)

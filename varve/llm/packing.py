@@ -97,15 +97,15 @@ def _exchange(give: np.ndarray, take: np.ndarray, room: int, need: int) -> tuple
         if gains[j] >= need:
             better(int(gains[j]), name_out(int(order[at[j]])), name_back(j))
 
-    fill(give, np.zeros(1, np.int64), lambda i: (i,), lambda j: ())
+    # equal fills are reached with large items where possible: what stays in the giver is then easy to place
+    if 2 <= len(take) <= 600:
+        c, d = np.triu_indices(len(take), 1)
+        fill(give, take[c] + take[d], lambda i: (i,), lambda j: (int(c[j]), int(d[j])))
     fill(give, take, lambda i: (i,), lambda j: (j,))
-    if not best or best[0] < room:
-        if 2 <= len(give) <= 600:
-            a, b = np.triu_indices(len(give), 1)
-            fill(give[a] + give[b], take, lambda i: (int(a[i]), int(b[i])), lambda j: (j,))
-        if 2 <= len(take) <= 600 and (not best or best[0] < room):
-            c, d = np.triu_indices(len(take), 1)
-            fill(give, take[c] + take[d], lambda i: (i,), lambda j: (int(c[j]), int(d[j])))
+    if 2 <= len(give) <= 600:
+        a, b = np.triu_indices(len(give), 1)
+        fill(give[a] + give[b], take, lambda i: (int(a[i]), int(b[i])), lambda j: (j,))
+    fill(give, np.zeros(1, np.int64), lambda i: (i,), lambda j: ())
     return best
 
 

@@ -41,8 +41,8 @@ def _open(path: str):
 
 def _zones(spark: SparkSession, path: str, group: Sequence[str], score: str, types: dict[str, T.DataType]) -> DataFrame:
     """One row per row group of the written files: its place, its group if it holds only one, its top score."""
-    fields = [T.StructField("path", T.StringType()), T.StructField("part", T.IntegerType()), T.StructField("one", T.BooleanType())]
-    schema = T.StructType([*fields, *(T.StructField(g, types[g]) for g in group), T.StructField("top", T.DoubleType())])
+    fields = [T.StructField("_path", T.StringType()), T.StructField("_part", T.IntegerType()), T.StructField("_one", T.BooleanType())]
+    schema = T.StructType([*fields, *(T.StructField(g, types[g]) for g in group), T.StructField("_top", T.DoubleType())])
 
     def footers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -58,7 +58,7 @@ def _zones(spark: SparkSession, path: str, group: Sequence[str], score: str, typ
                     stats = {c: info.column(at[c]).statistics for c in (*group, score)}
                     one = all(s is not None and s.has_min_max and s.null_count == 0 and s.min == s.max for s in (stats[g] for g in group))
                     top = stats[score].max if stats[score] is not None and stats[score].has_min_max else float("inf")
-                    rows.append({"path": file, "part": part, "one": one, "top": float(top)} | {g: stats[g].max if one else None for g in group})
+                    rows.append({"_path": file, "_part": part, "_one": one, "_top": float(top)} | {g: stats[g].max if one else None for g in group})
             yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path).select("path")
@@ -88,7 +88,7 @@ def _heads(zones: DataFrame, group: Sequence[str], n: int, schema: T.StructType,
                 kept = rows.filter(pa.array(np.arange(rows.num_rows) - begin < n))
                 yield from kept.cast(arrow).combine_chunks().to_batches()
 
-    return zones.select("path", "part").repartition(tasks, "path", "part").mapInArrow(read, schema)
+    return zones.select("_path", "_part").repartition(tasks, "_path", "_part").mapInArrow(read, schema)
 
 
 def top_n(
@@ -133,9 +133,9 @@ def top_n(
     )
     schema = usable.schema
     types = {f.name: f.dataType for f in schema.fields}
-    falling = Window.partitionBy(F.when(~F.col("one"), F.col("path")), *group).orderBy(F.desc("top"), "path", "part")
-    turn = F.when(F.col("one"), F.row_number().over(falling)).otherwise(0)
-    zones = scratch.save(_zones(spark, layout, group, score, types).withColumn("turn", turn), "zones")
+    falling = Window.partitionBy(F.when(~F.col("_one"), F.col("_path")), *group).orderBy(F.desc("_top"), "_path", "_part")
+    turn = F.when(F.col("_one"), F.row_number().over(falling)).otherwise(0)
+    zones = scratch.save(_zones(spark, layout, group, score, types).withColumn("_turn", turn), "zones")
     tasks = max(spark.sparkContext.defaultParallelism * 2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     places = Window.partitionBy(*group).orderBy(*best)
 
@@ -143,17 +143,17 @@ def top_n(
         return found.withColumn("place", F.row_number().over(places)).where(F.col("place") <= n)
 
     done, width = 0, FIRST_WIDTH
-    due = zones.where(F.col("turn") <= width)
+    due = zones.where(F.col("_turn") <= width)
     result = None
     while True:
         found = _heads(due, group, n, schema, tasks)
         result = scratch.save(ranked(found if result is None else result.drop("place").unionByName(found)), "best")
         done = width
-        floor = result.groupBy(*[F.col(g).alias(f"_{g}") for g in group]).agg(F.min(score).alias("floor"), F.count("*").alias("have"))
-        left = zones.where(F.col("turn") > done)
+        floor = result.groupBy(*[F.col(g).alias(f"_{g}") for g in group]).agg(F.min(score).alias("_floor"), F.count("*").alias("_have"))
+        left = zones.where(F.col("_turn") > done)
         same = [F.col(g).eqNullSafe(F.col(f"_{g}")) for g in group]
-        left = left.join(floor.where(F.col("have") >= n), same, "left").where(F.col("floor").isNull() | (F.col("top") >= F.col("floor")))
+        left = left.join(floor.where(F.col("_have") >= n), same, "left").where(F.col("_floor").isNull() | (F.col("_top") >= F.col("_floor")))
         if left.isEmpty():
             return result
         width *= 4
-        due = left.where(F.col("turn") <= width)
+        due = left.where(F.col("_turn") <= width)
