@@ -58,12 +58,15 @@ def grams(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
     return texts.select(key, text).mapInArrow(run, f"{key} bigint, grams array<bigint>")
 
 
-def seeds(items: DataFrame, frequency: DataFrame) -> DataFrame:
+def seeds(items: DataFrame, frequency: DataFrame, edited: bool) -> DataFrame:
     """(item_id, gram): of every passage of PASSAGE words the n-gram in the fewest documents.
 
-    items: (item_id, at, gram); frequency: (gram, docs), n-grams in no document are missing.
+    items: (item_id, at, gram); frequency: (gram, docs), n-grams in no document are missing. A passage with such an
+    n-gram is whole in no document and gives no seed, unless edited copies are sought: then the others count.
     """
     rare = F.struct(F.coalesce("docs", F.lit(0)).alias("docs"), "gram", "at")
+    if edited:
+        rare = F.when(F.col("docs") > 0, rare)
     span = PASSAGE - SEED
     window = Window.partitionBy("item_id").orderBy("at").rowsBetween(0, span)
     known = items.join(frequency, "gram", "left").withColumn("r", F.min(rare).over(window)).withColumn("k", F.count("*").over(window))
@@ -89,9 +92,10 @@ def align(document: np.ndarray, item: np.ndarray) -> tuple[int, int]:
     return best, longest
 
 
-def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
+def leaks(documents: DataFrame, items: DataFrame, *, edited: bool = True) -> DataFrame:
     """(doc_id, item_id, score, run, share) for every document and item that share a seed.
 
+    Without `edited`, only passages that may be whole in some document are sought.
     score: of the best local alignment of their words; run: their longest equal run of words; share: score over that
     of the whole item. documents: (doc_id, text), items: (item_id, text), ids being unique. Null and empty texts,
     and items with fewer than PASSAGE words, hold no passage.
@@ -103,7 +107,7 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     met = grams(documents, "doc_id").select("doc_id", F.explode(F.array_distinct("grams")).alias("gram"))
     hits = scratch.save(met.join(sought, "gram"), "hits")
     frequency = hits.groupBy("gram").agg(F.count("*").alias("docs"))
-    pairs = hits.join(seeds(of_items, frequency), "gram").select("doc_id", "item_id").distinct()
+    pairs = hits.join(seeds(of_items, frequency, edited), "gram").select("doc_id", "item_id").distinct()
     asked = scratch.save(pairs.groupBy("doc_id").agg(F.collect_list("item_id").alias("item_ids")), "pairs")
     texts = documents.select("doc_id", "text").join(asked, "doc_id")
     wanted = texts.select("doc_id", "text", F.explode("item_ids").alias("item_id")).join(items.select("item_id", F.col("text").alias("item")), "item_id")

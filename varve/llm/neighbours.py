@@ -1,8 +1,9 @@
 """Problem 2: the k most similar vectors of every vector, by NN-descent on Spark joins.
 
 Equal vectors are one node, so that a vector held by a third of all rows is still one node. A graph of
-`width` neighbours a node starts from random-projection leaves: hyperplanes fitted on a bounded sample
-put every vector into one leaf per tree, and leaves over LEAF rows are cut by hash. Each round then
+`width` neighbours a node starts from random groups and random-projection leaves: hyperplanes fitted on
+a bounded sample put every vector into one leaf per tree, and leaves over 2 LEAF rows are cut by hash; in
+these the nearest are found by comparing all. Each round then
 joins neighbours of neighbours: every node gathers the vectors of the nodes it points to and of those
 that point to it, compares all of them that are not yet known to each other (one of the two is new),
 and sends each the candidates that would enter its list. Rounds end when under `settled` of the list
@@ -182,12 +183,14 @@ def neighbour_graph(vectors: DataFrame, *, width: int = 12, trees: int = 3, roun
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             v = _matrix(batch.column("v"))
-            cells = np.zeros((len(v), len(forest)), np.int64)
+            cells = np.zeros((len(v), len(forest) + 1), np.int64)
+            mixed = batch.column("id").to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            cells[:, -1] = (mixed >> np.uint64(20)) % np.uint64(max(1, total // LEAF))
             for t, (planes, cuts) in enumerate(forest):
                 at = v @ planes.T
                 for level in range(len(planes)):
                     cells[:, t] = cells[:, t] * 2 + (at[:, level] > cuts[level, cells[:, t]])
-            offsets = pa.array(np.arange(len(v) + 1) * len(forest), pa.int32())
+            offsets = pa.array(np.arange(len(v) + 1) * cells.shape[1], pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v").cast(pa.list_(pa.float32())), pa.ListArray.from_arrays(offsets, pa.array(cells.ravel()))], names=["id", "vec", "cells"])
 
     placed = scratch.save(base.mapInArrow(leaves, "id bigint, vec array<float>, cells array<bigint>"), "placed")

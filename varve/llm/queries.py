@@ -175,17 +175,17 @@ def p6_containers(spark: SparkSession, d: str, vocabulary: str = "/opt/tokenizer
     return packing.pack(sizes, 2048)
 
 
-def _p7(spark: SparkSession, d: str) -> DataFrame:
-    return leaks.leaks(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "eval_items").select("item_id", "text"))
+def _p7(spark: SparkSession, d: str, edited: bool) -> DataFrame:
+    return leaks.leaks(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "eval_items").select("item_id", "text"), edited=edited)
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return _p7(spark, d).where(F.col("run") >= leaks.PASSAGE).select("doc_id", "item_id")
+    return _p7(spark, d, False).where(F.col("run") >= leaks.PASSAGE).select("doc_id", "item_id")
 
 
 def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
     """Posts and items whose best alignment scores as much as PASSAGE equal words, edited copies among them."""
-    found = _p7(spark, d).where(F.col("score") >= leaks.MATCH * leaks.PASSAGE)
+    found = _p7(spark, d, True).where(F.col("score") >= leaks.MATCH * leaks.PASSAGE)
     return found.select("doc_id", "item_id", "score", F.col("run").alias("longest_run"), F.round("share", 6).alias("share"))
 
 

@@ -171,6 +171,11 @@ class Scorer:
             kinds[0] += n
             kinds[1] += 1
         self.seen: dict[str, float] = {}
+        self.bits: dict[str, float] = {}
+
+    def _surprise(self, gram: str) -> float:
+        self.bits[gram] = bits = -float(np.log(self.chance(gram)))
+        return bits
 
     def chance(self, gram: str) -> float:
         known = self.seen.get(gram)
@@ -184,7 +189,8 @@ class Scorer:
     def stretches(self, found: list[str]) -> np.ndarray:
         """Per symbol the log perplexity of the SPAN symbols around it."""
         chain = "^" * (ORDER - 1) + "".join(found)
-        bits = np.array([-np.log(self.chance(chain[i - ORDER : i])) for i in range(ORDER, len(chain) + 1)])
+        known = self.bits.get
+        bits = np.array([known(g) or self._surprise(g) for g in (chain[i - ORDER : i] for i in range(ORDER, len(chain) + 1))])
         sums = np.concatenate(([0.0], np.cumsum(bits)))
         at = np.arange(len(bits))
         low, high = np.maximum(0, at - SPAN // 2), np.minimum(len(bits), at + SPAN // 2 + 1)
@@ -231,11 +237,11 @@ def entries(own: str) -> tuple[int, int, int]:
     return found, inside, total
 
 
-def scored(documents: DataFrame, *, high: float = 2.6, low: float = 0.6) -> DataFrame:
+def scored(documents: DataFrame, *, high: float = 2.6, low: float = 0.6, above: float = -1.0) -> DataFrame:
     """(doc_id, perplexity, odd, entries, inside, total) for every document with own words.
 
     perplexity: of the whole own text under the prose model; odd: the share of its symbols in stretches whose log
-    perplexity is above `high` or below `low`.
+    perplexity is above `high` or below `low`. Entries are counted only where odd is greater than `above`, else null.
     """
     spark = documents.sparkSession
 
@@ -259,7 +265,7 @@ def scored(documents: DataFrame, *, high: float = 2.6, low: float = 0.6) -> Data
                     continue
                 around = scorer.stretches(found)
                 odd = float(((around > high) | (around < low)).mean())
-                rows.append((doc_id, float(np.exp(around.mean())), odd, *entries(text)))
+                rows.append((doc_id, float(np.exp(around.mean())), odd, *(entries(text) if odd > above else (None, None, None))))
             columns = list(zip(*rows, strict=True)) or [[]] * 6
             kinds = (pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["doc_id", "perplexity", "odd", "entries", "inside", "total"])
@@ -274,6 +280,6 @@ def stuffed(documents: DataFrame, *, odd: float = 0.5) -> DataFrame:
     and more than SHARE of their own words in them. Null, empty and wholly quoted texts are none.
     """
     share = F.col("inside") / F.greatest(F.col("total"), F.lit(1))
-    suspicious = scored(documents).where(F.col("odd") > odd)
+    suspicious = scored(documents, above=odd).where(F.col("odd") > odd)
     checked = suspicious.where((F.col("entries") >= ENTRIES) & (F.col("inside") * 3 > F.col("total") * 2))
     return checked.select("doc_id", "perplexity", F.col("odd"), "entries", share.alias("share"))
