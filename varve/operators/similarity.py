@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from varve.functions import stats
 from varve.operators.diffexp import benjamini_hochberg
+from varve.session import shared_dir
 
 
 def pearson(x: Column, y: Column) -> Column:
@@ -108,6 +109,7 @@ def complete_linkage(pairs: DataFrame, k: int, distance: Column) -> DataFrame:
     All mutual nearest pairs merge in one round; for complete linkage this gives the same tree as one merge at a time.
     The cut drops the highest merges.
     """
+    shared_dir(pairs.sparkSession)
     gaps = pairs.select(F.col("cluster1").alias("a"), F.col("cluster2").alias("b"), distance.alias("d")).checkpoint()
     members = gaps.select(F.explode(F.array("a", "b")).alias("cluster")).distinct().checkpoint()
     merges = None

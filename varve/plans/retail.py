@@ -255,9 +255,6 @@ def similarity_degree(spark: SparkSession, d: str) -> DataFrame:
 
 def similarity_branches(spark: SparkSession, d: str) -> DataFrame:
     """The clusters cut into eight branches by complete linkage of 1 - similarity."""
-    from varve.session import shared_dir
-
-    shared_dir(spark)
     return similarity.complete_linkage(_pairs(spark, d), 8, 1 - F.col("similarity"))
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -36,11 +35,10 @@ def shared_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not found:
-        found = tempfile.mkdtemp(prefix="spark-varve-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        found = f"file://{tempfile.mkdtemp(prefix='spark-varve-')}"
     if not context.getCheckpointDir():
         context.setCheckpointDir(found)
-    return found if "://" in found or found.startswith("file:") else f"file://{os.path.abspath(found)}"
+    return found
 
 
 class Scratch:
