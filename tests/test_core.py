@@ -272,3 +272,57 @@ def test_scatter_jitter_does_not_depend_on_partitions(tiny):
     one = {r.cell_id: (r.x, r.y) for r in reduce.pair_scatter(norm, cells, 1, 2, seed=4).collect()}
     two = {r.cell_id: (r.x, r.y) for r in reduce.pair_scatter(norm.repartition(5), cells.repartition(3), 1, 2, seed=4).collect()}
     assert one == two and one[1][0] > 0
+
+
+def test_moderated_f_of_two_groups_is_the_squared_t(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(10, 80)) * rng.gamma(3, 1, 80)
+    cells = spark.createDataFrame([(i, "a" if i < 4 else "b") for i in range(10)], "cell_id bigint, cluster string")
+    values = spark.createDataFrame([(i, j, float(x[i, j])) for i in range(10) for j in range(80)], "cell_id bigint, gene_id int, norm double")
+    sums, sizes = diffexp.cluster_sums(values, cells, [])
+    f = {r.gene_id: r for r in diffexp.moderated_f(sums, sizes).collect()}
+    t = {r.gene_id: r for r in diffexp.moderated_t(diffexp.one_vs_rest(sums, sizes, []).where("cluster = 'a'"), ["cluster"]).collect()}
+    assert all(f[g].f == pytest.approx(t[g].t ** 2) and f[g].p == pytest.approx(t[g].p, abs=1e-8) for g in range(80))
+
+
+def test_read_data_and_summary(spark):
+    from varve.operators import pipeline
+
+    genes = spark.createDataFrame([(j, f"G{j}") for j in range(8)] + [(8, "G0"), (9, "mt-A")], "gene_id int, symbol string")
+
+    def part(seed):
+        x = np.random.default_rng(seed).poisson(3, (20, 10))
+        x[0] = x[1]
+        x[2] = 0
+        x[3, 9] = 500
+        rows = [(i, j, "", float(x[i, j])) for i in range(20) for j in range(10) if x[i, j]]
+        return spark.createDataFrame(rows, "cell_id bigint, gene_id int, dataset string, count double"), genes, spark.createDataFrame([(i,) for i in range(20)], "cell_id bigint")
+
+    got = pipeline.read_data({"b": part(1), "a": part(2)}, min_genes=3, genes_quantile=1.0, umis_quantile=1.0, max_mito=0.5)
+    assert got["cells"].count() == 32 and got["genes"].where("symbol in ('G0.1', 'G0.2')").count() == 2
+    assert got["cells"].select("cell_id").distinct().count() == 32
+    clustered = got["cells"].withColumn("cluster", F.when(F.col("cell_id") % 2 == 0, "even").otherwise("odd"))
+    for contrast, tests in (("all", 20), ("datasets", 40)):
+        out = pipeline.summarize(got["counts"], clustered, got["confounders"], contrast=contrast, top=2)
+        assert out["tests"].count() == tests and out["heatmap"].count() == 20 and out["sizes"].count() == 4
+    with pytest.raises(ValueError):
+        pipeline.read_data({"a": part(1), "b": (part(2)[0], genes.where("gene_id < 9"), part(2)[2])}, min_genes=3)
+
+
+def test_projects_are_saved_and_merged(spark, tmp_path):
+    from varve.model import load_project, save_project
+
+    def tables(shift, symbols):
+        return {
+            "counts": spark.createDataFrame([(1, 1, 2.0), (2, 2, 1.0)], "cell_id bigint, gene_id int, count double"), "cells": spark.createDataFrame([(1, "d"), (2, "d")], "cell_id bigint, dataset string"),
+            "genes": spark.createDataFrame(list(enumerate(symbols, 1)), "gene_id int, symbol string"), "hvg": spark.createDataFrame([(1,)], "gene_id int"), "member": spark.createDataFrame([(1, shift), (2, shift + 1)], "cell_id bigint, cluster int"),
+        }
+
+    project = Project.create(spark, ["a"], str(tmp_path)).having(**tables(1, ["X", "Y"]))
+    save_project(project)
+    again = load_project(spark, str(tmp_path), "a", list(project.tables))
+    merged = similarity.merge_projects({"a": again.tables, "b": tables(1, ["H1", "y"])}, spark.createDataFrame([("h1", "x"), ("H1", "z")], "symbol string, other string"))
+    assert {r.symbol for r in merged["genes"].collect()} == {"x", "y"} and {r.symbol for r in merged["hvg"].collect()} == {"x"}
+    assert {(r.project, r.cell_id): r.merged for r in merged["member"].collect()} == {("a", 1): 1, ("a", 2): 2, ("b", 1): 3, ("b", 2): 4}
+    united = similarity.united_filter(spark.createDataFrame([("A", None), ("a", True), ("b", None), (None, True)], "symbol string, keep boolean"))
+    assert {r.symbol: r.keep for r in united.collect()} == {"a": True, "b": False}

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import logging
+import time
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, replace
 
@@ -15,6 +17,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+log = logging.getLogger("varve")
+
+
 @dataclass(frozen=True)
 class Project:
     """Named tables and where stages are kept."""
@@ -45,10 +50,25 @@ class Project:
         folder = f"{self.path}/{self.name}/{name}-{key}"
         target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
         if not target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
+            began = time.time()
             make().write.mode("overwrite").parquet(folder)
+            log.info("%s %s made in %.1f s", self.name, name, time.time() - began)
         return self.spark.read.parquet(folder)
 
 
+def save_project(project: Project) -> str:
+    """Writes every table of the project to its folder and gives the folder."""
+    folder = f"{project.path}/{project.name}"
+    for name, df in project.tables.items():
+        df.write.mode("overwrite").parquet(f"{folder}/tables/{name}")
+    return folder
+
+
+def load_project(spark: SparkSession, path: str, name: str, tables: Sequence[str]) -> Project:
+    """A saved project with the named tables."""
+    return Project(spark, name, path, {t: spark.read.parquet(f"{path}/{name}/tables/{t}") for t in tables})
+
+
 def first_match(df: DataFrame, key: str, *order: Column | str) -> DataFrame:
     """The first row of every key in the given order, so that a look-up by it never multiplies rows."""
     place = F.row_number().over(Window.partitionBy(key).orderBy(*order))

@@ -112,6 +112,23 @@ def moderated_t(tests: DataFrame, keys: Sequence[str]) -> DataFrame:
     return benjamini_hochberg(scored.drop("_s2", "d0", "s02"), keys, "p")
 
 
+def moderated_f(sums: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(gene_id, f, p, q): the moderated F of every gene over all clusters, zeros included (M16 for more than two groups).
+
+    Fewer than two clusters give no rows.
+    """
+    groups = sizes.agg(F.count("*").cast("double").alias("_k"), F.sum("n").cast("double").alias("_n")).where("_k > 1")
+    parts = sums.join(sizes, "cluster").groupBy("gene_id").agg(F.sum("s").alias("_s"), F.sum("ss").alias("_ss"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("_b"))
+    joined = parts.join(F.broadcast(groups))
+    between = (F.col("_b") - F.col("_s") * F.col("_s") / F.col("_n")) / (F.col("_k") - 1)
+    tests = joined.select(F.lit(0).alias("_all"), "gene_id", between.alias("_between"), (F.col("_k") - 1).alias("_df1"), (F.col("_n") - F.col("_k")).alias("df"), F.try_divide(F.greatest(F.lit(0.0), F.col("_ss") - F.col("_b")), F.col("_n") - F.col("_k")).alias("s2"))
+    shrunk = tests.join(hyper_parameters(tests, ["_all"]), "_all", "left")
+    free = F.isnan("d0") | (F.col("d0") == float("inf"))
+    s2 = F.when(free, F.col("s02")).otherwise((F.col("d0") * F.col("s02") + F.col("df") * F.col("s2")) / (F.col("d0") + F.col("df")))
+    scored = shrunk.withColumn("f", F.try_divide("_between", s2)).withColumn("_df2", F.when(free, F.lit(1e7)).otherwise(F.col("d0") + F.col("df")))
+    return benjamini_hochberg(scored.select("gene_id", "f", stats.f_upper("f", "_df1", "_df2").alias("p")), [], "p")
+
+
 def significant(tests: DataFrame, min_fold: float = 1.5, quantile: float = 0.95) -> DataFrame:
     """Tests with q <= 1 - quantile and fold >= min_fold (F10); nulls fail."""
     return tests.where((F.col("q") <= F.lit(round(1 - quantile, 12))) & (F.col("fold") >= min_fold))

@@ -87,6 +87,12 @@ def controlled_score(normalised: DataFrame, cells: DataFrame, signature: DataFra
     return front.join(rest, "cell_id").select("cell_id", (F.col("score") - F.col("_b")).alias("score"))
 
 
+def gene_set_score(normalised: DataFrame, cells: DataFrame, genes: DataFrame, pattern: str, *, control: bool, k: int = 10) -> DataFrame:
+    """(cell_id, score) of the genes whose symbol matches: against their background with control, else the plain mean (M4)."""
+    members = genes.where(F.col("symbol").rlike(pattern)).select("gene_id").distinct()
+    return controlled_score(normalised, cells, members, k if control else 0)
+
+
 def match_signature(genes: DataFrame, symbols: DataFrame) -> DataFrame:
     """(symbol, gene_id): the first gene of each listed symbol, letter case aside; unknown symbols are dropped."""
     first = genes.where("symbol is not null").groupBy(F.lower("symbol").alias("_s")).agg(F.min("gene_id").alias("gene_id"))

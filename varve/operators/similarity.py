@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -60,7 +61,7 @@ def describe(pairs: DataFrame, clusters: DataFrame) -> DataFrame:
     return pairs
 
 
-def robust_pairs(pairs: DataFrame, min_sd: float = 1.6448536269514722, max_q: float | None = 0.01) -> DataFrame:
+def robust_pairs(pairs: DataFrame, min_sd: float = NormalDist().inv_cdf(0.95), max_q: float | None = 0.01) -> DataFrame:
     """Pairs of one origin and different experiments whose clusters are both robust, with z within the origin.
 
     A cluster is robust if one of its pairs has z >= min_sd and, unless max_q is None, q_val_1 <= max_q. An origin
@@ -91,6 +92,15 @@ def matrix(pairs: DataFrame, value: str, columns: Sequence, one: str = "cluster1
     return both.groupBy(one).pivot(two, list(columns)).agg(F.first(value))
 
 
+def scaled_distances(pairs: DataFrame) -> DataFrame:
+    """pairs with neg_ocldist and neg_ocldist_fc, the distances' negative z-scores over all pairs."""
+    ends = pairs.agg(*(f(c).alias(f"_{n}_{c}") for c in ("ocldist", "ocldist_fc") for n, f in (("m", F.avg), ("s", F.stddev_samp))))
+    joined = pairs.join(F.broadcast(ends))
+    for c in ("ocldist", "ocldist_fc"):
+        joined = joined.withColumn(f"neg_{c}", -F.try_divide(F.col(c) - F.col(f"_m_{c}"), F.col(f"_s_{c}"))).drop(f"_m_{c}", f"_s_{c}")
+    return joined
+
+
 def sample_pair(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """Pairs between two samples, either way round."""
     low, high = sorted((a, b))
@@ -145,6 +155,11 @@ def merge_clusters(member: DataFrame, dataset: str = "dataset") -> DataFrame:
     return member.join(offsets, dataset).withColumn("merged", F.col("cluster") + F.col("_off")).drop("_off")
 
 
+def united_filter(genes: DataFrame) -> DataFrame:
+    """(symbol, keep): whether any dataset keeps the gene, symbols matched letter case aside (A13); nulls do not keep."""
+    return genes.where("symbol is not null").groupBy(F.lower("symbol").alias("symbol")).agg(F.bool_or(F.coalesce("keep", F.lit(False))).alias("keep"))
+
+
 def merge_projects(parts: dict[str, dict[str, DataFrame]], orthologs: DataFrame | None = None) -> dict[str, DataFrame]:
     """One set of tables out of several clustered projects.
 

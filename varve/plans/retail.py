@@ -249,6 +249,28 @@ def sample_pair_matrix(spark: SparkSession, d: str) -> DataFrame:
     return rounded(found.select("cluster1", "cluster2", "similarity", "ocldist_fc"), 5)
 
 
+def similarity_scaled(spark: SparkSession, d: str) -> DataFrame:
+    found = similarity.scaled_distances(_pairs(spark, d))
+    return rounded(found.select("cluster1", "cluster2", "neg_ocldist", "neg_ocldist_fc"), 5)
+
+
+def mitochondrial_score(spark: SparkSession, d: str) -> DataFrame:
+    counts, cells, genes = _data(spark, d)
+    return rounded(expression.gene_set_score(expression.normalise(counts), cells, genes, OTHER, control=False))
+
+
+def moderated_f(spark: SparkSession, d: str) -> DataFrame:
+    return diffexp.moderated_f(*_sums(spark, d, [], "dataset"))
+
+
+def top_marker_heatmap(spark: SparkSession, d: str) -> DataFrame:
+    """V7: means of the five genes of greatest fold of every segment, in all segments."""
+    sums, sizes = _sums(spark, d, [], "dataset")
+    tests = diffexp.one_vs_rest(sums, sizes, []).withColumn("fold", F.round("fold", 9))
+    leaders = diffexp.top_per_cluster(tests, ["cluster"], 5).select("gene_id").distinct()
+    return rounded(reduce.heatmap(sums, sizes).join(leaders, "gene_id", "left_semi").select("cluster", "gene_id", "mean"))
+
+
 def similarity_degree(spark: SparkSession, d: str) -> DataFrame:
     return similarity.degrees(_pairs(spark, d).withColumn("similarity", F.round("similarity", 9)), 0.0)
 
@@ -394,6 +416,9 @@ ORACLES = {
     "similarity_matrix": _q("""select one, round(max(v) filter (where two = 'AUTOMOBILE'), 5) as "AUTOMOBILE", round(max(v) filter (where two = 'BUILDING'), 5) as "BUILDING", round(max(v) filter (where two = 'FURNITURE'), 5) as "FURNITURE", round(max(v) filter (where two = 'HOUSEHOLD'), 5) as "HOUSEHOLD", round(max(v) filter (where two = 'MACHINERY'), 5) as "MACHINERY"
         from (select experiment1 as one, experiment2 as two, similarity as v from pd where origin1 = 'ASIA' and origin2 = 'ASIA' union all select experiment2, experiment1, similarity from pd where origin1 = 'ASIA' and origin2 = 'ASIA' union all select distinct dataset, dataset, 1.0 from rc where origin = 'ASIA') group by 1""", _SIM),
     "sample_pair_matrix": _q("select cluster1, cluster2, round(similarity, 5) as similarity, round(ocldist_fc, 5) as ocldist_fc from pr where cluster1 = 'ASIA/BUILDING' and cluster2 = 'EUROPE/BUILDING'", _SIM),
+    "similarity_scaled": _q("select cluster1, cluster2, round(-(ocldist - avg(ocldist) over ()) / stddev_samp(ocldist) over (), 5) as neg_ocldist, round(-(ocldist_fc - avg(ocldist_fc) over ()) / stddev_samp(ocldist_fc) over (), 5) as neg_ocldist_fc from pr", _SIM),
+    "mitochondrial_score": _q("select rc.cell_id, round(coalesce(sum(norm) filter (where nrm.gene_id in (select gene_id from g where regexp_matches(symbol, '(?i)^red'))), 0) / (select count(*) from g where regexp_matches(symbol, '(?i)^red')), 6) as score from rc left join nrm using (cell_id) group by 1"),
+    "top_marker_heatmap": _q("select cluster, gene_id, round(mean1, 6) as mean from te where gene_id in (select gene_id from (select gene_id, row_number() over (partition by cluster order by round(exp(logfc), 9) desc, gene_id) as place from te) where place <= 5)", _de("dataset")),
     "similarity_degree": _q("select cluster, count(*) as degree from (select cluster1 as cluster from pr where round(similarity, 9) > 0 union all select cluster2 from pr where round(similarity, 9) > 0) group by 1", _SIM),
     "pair_scatter": _q("select rc.cell_id, round(coalesce(max(norm) filter (where gene_id = 1), 0), 6) as x, round(coalesce(max(norm) filter (where gene_id = 2), 0), 6) as y from rc left join nrm using (cell_id) group by 1"),
     "activation_overlay": _q("select cell_id, round((score - (select avg(score) from sc)) / (select stddev_samp(score) from sc), 5) as z from sc where score > (select quantile_cont(score, 0.9) from sc)", "sc as (select rc.cell_id, coalesce(sum(norm) filter (where front.gene_id is not null), 0) / (select count(*) from front) as score from rc left join nrm using (cell_id) left join front using (gene_id) group by 1)\n"),
@@ -408,6 +433,6 @@ QUERIES = {
         qc_metrics, qc_filter, qc_quantiles, qc_metric_pairs, marker_cell_filter, gene_filter, prefilter_cells, subsample_cells, normalize_log, hvg, hvg_union, hvg_shared, gene_moments,
         signature_mean, similar_genes, controlled_score, signature_match, regress_genes, de_one_vs_rest, de_by_origin, de_moderated, detection_ratios, robust_markers, cluster_heatmap,
         heatmap_row_order, heatmap_scaled, cluster_names, named_cells, varying_genes, cluster_similarity, similarity_significance, robust_similarity, robust_similarity_q, similarity_matrix,
-        sample_pair_matrix, similarity_degree, similarity_branches, pair_scatter, activation_overlay, minmax_violin, group_means, dedupe_all_copies,
+        sample_pair_matrix, similarity_scaled, mitochondrial_score, moderated_f, top_marker_heatmap, similarity_degree, similarity_branches, pair_scatter, activation_overlay, minmax_violin, group_means, dedupe_all_copies,
     )
 }

@@ -143,6 +143,17 @@ def distinct_pcs(spark: SparkSession, d: str) -> DataFrame:
     return qc.keep_first(rows, "pc", "cell_id").select("cell_id", F.size("pc").alias("n_scores"))
 
 
+def united_gene_filter(spark: SparkSession, d: str) -> DataFrame:
+    return similarity.united_filter(table(spark, d, "genes"))
+
+
+def embedding_table(spark: SparkSession, d: str) -> DataFrame:
+    """V1, V3: the first two scores of every cell, equal ones once, with its confounders and dataset."""
+    rows = current(table(spark, d, "pcs"), ["cell_id"], "computed_at").where("size(pc) >= 2")
+    first = qc.keep_first(rows, "pc", "cell_id").select("cell_id", F.col("pc")[0].alias("x"), F.col("pc")[1].alias("y"))
+    return first.join(_confounders(spark, d).select("cell_id", "dataset", "numi", "ngenes"), "cell_id", "left")
+
+
 _CONF = """with la as (select cell_id, max_by(struct_pack(numi := numi, ngenes := ngenes, mito := mito_frac, ribo := ribo_frac), loaded_at) as v from confounders group by 1),
 so as (select cell_id, max(dataset) as dataset, max(origin) as origin from cells group by 1),
 cf as (select cell_id, dataset, origin, case when v.numi > 0 and not isnan(v.numi) then v.numi end as numi, case when v.ngenes > 0 then v.ngenes end as ngenes,
@@ -169,6 +180,8 @@ ca as (select project, run_id, n_clusters, modularity, n_shuffled, shuffled_mean
 )
 
 ORACLES = {
+    "united_gene_filter": "select lower(symbol) as symbol, bool_or(coalesce(keep, false)) as keep from genes where symbol is not null group by 1",
+    "embedding_table": _CONF + ", pc0 as (select cell_id, max_by(pc, computed_at) as pc from pcs group by 1), pc1 as (select min(cell_id) as cell_id, pc from pc0 where len(pc) >= 2 group by pc) select cell_id, pc[1] as x, pc[2] as y, dataset, numi, ngenes from pc1 left join cf using (cell_id)",
     "cells_qc_filter": _CONF + "select cell_id, dataset, coalesce(ngenes >= 500 and ngenes <= qg and numi <= qu and mito_frac <= 0.1 and ribo_frac <= 0.35, false) as passed from cf join (select dataset, quantile_cont(ngenes, 0.98) as qg, quantile_cont(numi, 0.98) as qu from cf group by 1) using (dataset)",
     "cells_quantiles": _CONF + "select dataset, p::double as p, round(case p when 0.01 then a when 0.5 then b else c end, 6) as value from (select dataset, quantile_cont(numi, 0.01) as a, quantile_cont(numi, 0.5) as b, quantile_cont(numi, 0.98) as c from cf where numi is not null group by 1), (values (0.01), (0.5), (0.98)) v(p)",
     "confounder_quartiles": _CONF + "select origin, count(*) as n, round(quantile_cont(mito_frac, 0.25), 6) as q25, round(quantile_cont(mito_frac, 0.5), 6) as q50, round(quantile_cont(mito_frac, 0.75), 6) as q75 from cf where mito_frac is not null group by 1",
@@ -195,6 +208,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         cells_qc_filter, cells_quantiles, confounder_quartiles, regress_confounder, add_confounders, gene_set_select, duplicate_names, capitalise_symbols, bh_adjust, significant_tests,
-        two_sided_tests, complete_tests, top_n_per_cluster, confusion_table, cluster_sizes, merge_cluster_offsets, calibration_nearest, modularity_by_count, chosen_ratio, distinct_pcs,
+        two_sided_tests, complete_tests, top_n_per_cluster, confusion_table, cluster_sizes, merge_cluster_offsets, calibration_nearest, modularity_by_count, chosen_ratio, distinct_pcs, united_gene_filter, embedding_table,
     )
 }
