@@ -43,7 +43,8 @@ def qc_metric_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 def marker_cell_filter(spark: SparkSession, d: str) -> DataFrame:
     counts, cells, genes = _data(spark, d)
-    rules = genes.where("gene_id < 4").join(cells.select("dataset").distinct()).select("dataset", F.col("symbol").alias("gene"), F.lit(False).alias("expressed"))
+    large = table(spark, d, "part").where("p_size = 50 and p_brand in ('Brand#1', 'Brand#2')").select(F.col("p_partkey").alias("gene_id"))
+    rules = genes.join(large, "gene_id").join(cells.select("dataset").distinct()).select("dataset", F.col("symbol").alias("gene"), F.lit(False).alias("expressed"))
     return qc.marker_filter(counts, cells, genes, rules).select("cell_id", "dataset", "marker_passed")
 
 
@@ -100,20 +101,21 @@ def signature_mean(spark: SparkSession, d: str) -> DataFrame:
     return rounded(expression.signature_mean(expression.normalise(counts), cells, qc.gene_set(genes, FRONT)))
 
 
-def _signature(genes: DataFrame) -> DataFrame:
-    return genes.where("symbol like 'small-%' and gene_id < 400")
+def _signature(spark: SparkSession, d: str) -> DataFrame:
+    """The parts of one brand as a signature."""
+    return table(spark, d, "part").where("p_brand = 'Brand#3'").select(F.col("p_partkey").alias("gene_id"))
 
 
 def similar_genes(spark: SparkSession, d: str) -> DataFrame:
-    counts, cells, genes = _data(spark, d)
+    counts, cells, _ = _data(spark, d)
     norm = Scratch(spark, "norm").save(expression.normalise(counts), "norm")
-    return expression.similar_genes(expression.technical_features(norm, cells), _signature(genes), 5)
+    return expression.similar_genes(expression.technical_features(norm, cells), _signature(spark, d), 5)
 
 
 def controlled_score(spark: SparkSession, d: str) -> DataFrame:
-    counts, cells, genes = _data(spark, d)
+    counts, cells, _ = _data(spark, d)
     norm = Scratch(spark, "norm").save(expression.normalise(counts), "norm")
-    return rounded(expression.controlled_score(norm, cells, _signature(genes), 5))
+    return rounded(expression.controlled_score(norm, cells, _signature(spark, d), 5))
 
 
 def signature_match(spark: SparkSession, d: str) -> DataFrame:
@@ -184,7 +186,7 @@ def cluster_names(spark: SparkSession, d: str) -> DataFrame:
     genes = views.retail_genes(spark, d)
     tests = diffexp.one_vs_rest(*_sums(spark, d, [], "dataset"), [])
     strong = tests.where("round(fold, 9) >= 1.0").join(genes, "gene_id").select("cluster", F.col("symbol").alias("gene"))
-    brands = table(spark, d, "part").where("p_partkey < 60").join(genes, F.col("p_partkey") == F.col("gene_id"))
+    brands = table(spark, d, "part").join(genes, F.col("p_partkey") == F.col("gene_id"))
     return diffexp.cluster_names(strong, brands.select(F.col("p_brand").alias("type"), F.col("symbol").alias("gene")), tests)
 
 
@@ -374,7 +376,7 @@ _FEATURES = """sg as (select gene_id, sum(norm) as s, sum(norm * norm) as q from
 nn as (select count(*)::double as n from rc),
 st as (select gene_id, s / n as mean, greatest(0, (q - s * s / n) / (n - 1)) as var from sg, nn),
 te as (select gene_id, coalesce((mean - avg(mean) over ()) / nullif(stddev_samp(mean) over (), 0), 0) as m, coalesce((var - avg(var) over ()) / nullif(stddev_samp(var) over (), 0), 0) as v from st),
-sig as (select gene_id from g where symbol like 'small-%' and gene_id < 400),
+sig as (select p_partkey as gene_id from part where p_brand = 'Brand#3'),
 nr as (select a.gene_id, b.gene_id as other, row_number() over (partition by a.gene_id order by (b.m - a.m) * (b.m - a.m) + (b.v - a.v) * (b.v - a.v), b.gene_id)::int as rank
        from te a semi join sig on a.gene_id = sig.gene_id join te b on a.gene_id <> b.gene_id qualify rank <= 5)
 """
@@ -389,7 +391,7 @@ ORACLES = {
     "qc_filter": _q("select cell_id, dataset, coalesce(ngenes >= 10 and ngenes <= qg and numi <= qu and mito_frac <= 0.2 and ribo_frac <= 0.3, false) as passed from met join (select dataset, quantile_cont(ngenes, 0.98) as qg, quantile_cont(numi, 0.98) as qu from met group by 1) using (dataset)"),
     "qc_quantiles": _q("select dataset, p::double as p, round(quantile_cont(ngenes, 0.01) filter (where p = 0.01), 6) as value from met, (select 0.01 as p) group by dataset, p union all select dataset, 0.25, round(quantile_cont(ngenes, 0.25), 6) from met group by 1 union all select dataset, 0.5, round(quantile_cont(ngenes, 0.5), 6) from met group by 1 union all select dataset, 0.75, round(quantile_cont(ngenes, 0.75), 6) from met group by 1 union all select dataset, 0.99, round(quantile_cont(ngenes, 0.99), 6) from met group by 1"),
     "qc_metric_pairs": _q("select cell_id, 'numi' as a, 'ngenes' as b, round(numi, 6) as x, round(ngenes::double, 6) as y from met union all select cell_id, 'numi', 'ribo_frac', round(numi, 6), round(ribo_frac, 6) from met union all select cell_id, 'ngenes', 'ribo_frac', round(ngenes::double, 6), round(ribo_frac, 6) from met"),
-    "marker_cell_filter": _q("select rc.cell_id, rc.dataset, not exists (select 1 from c where c.cell_id = rc.cell_id and gene_id < 4 and cnt > 0) as marker_passed from rc"),
+    "marker_cell_filter": _q("select rc.cell_id, rc.dataset, not exists (select 1 from c where c.cell_id = rc.cell_id and gene_id in (select p_partkey from part where p_size = 50 and p_brand in ('Brand#1', 'Brand#2')) and cnt > 0) as marker_passed from rc"),
     "gene_filter": _q("select gene_id, symbol, count(*) as n_cells from c join g using (gene_id) group by 1, 2 having count(*) >= 20"),
     "prefilter_cells": _q("select cell_id, count(*) as n_genes from c group by 1 having count(*) >= 30"),
     "normalize_log": _q("select cell_id, gene_id, round(norm, 6) as norm from nrm"),
@@ -408,7 +410,7 @@ ORACLES = {
     "heatmap_row_order": _q("select gene_id, cluster from te qualify row_number() over (partition by gene_id order by round(mean1, 9) desc, cluster) = 1", _de("dataset")),
     "heatmap_scaled": _q("select cluster, gene_id, round((mean1 - avg(mean1) over (partition by cluster)) / stddev_samp(mean1) over (partition by cluster), 5) as z from te", _de("dataset")),
     "cluster_names": _q("select cluster, case when count(*) over (partition by name) > 1 then name || '_' || row_number() over (partition by name order by cluster) else name end as name from (select cluster, coalesce(string_agg(type, '_' order by e desc, type), 'Unknown') as name from (select distinct cluster from te) left join ex using (cluster) group by 1)",
-        _de("dataset"), ", ty as (select p_brand as type, p_partkey as gene_id from part where p_partkey < 60), ex as (select cluster, type, count(*) - any_value(need) / 2 as e from te join ty using (gene_id) join (select type, count(*) as need from ty group by 1) using (type) where round(exp(logfc), 9) >= 1 group by 1, 2 having count(*) - any_value(need) / 2 > 0)\n"),
+        _de("dataset"), ", ty as (select p_brand as type, p_partkey as gene_id from part), ex as (select cluster, type, count(*) - any_value(need) / 2 as e from te join ty using (gene_id) join (select type, count(*) as need from ty group by 1) using (type) where round(exp(logfc), 9) >= 1 group by 1, 2 having count(*) - any_value(need) / 2 > 0)\n"),
     "named_cells": _q("select cell_id, dataset as cluster, upper(dataset[1]) || lower(dataset[2:]) as name from rc where dataset <> 'FURNITURE'"),
     "varying_genes": _q("select gene_id, count(*) as n_cells from nrm where dataset in ('BUILDING', 'MACHINERY') group by 1 having (sum(norm * norm) - sum(norm) * sum(norm) / (select count(*) from rc where dataset in ('BUILDING', 'MACHINERY'))) / (select count(*) - 1 from rc where dataset in ('BUILDING', 'MACHINERY')) > 1e-12"),
     "cluster_similarity": _q("select cluster1, cluster2, n_genes, round(similarity, 5) as similarity, round(similarity_1, 5) as similarity_1, round(ocldist, 5) as ocldist, round(ocldist_fc, 5) as ocldist_fc, round(jaccard, 5) as jaccard, round(jaccard2, 5) as jaccard2 from pr", _SIM),

@@ -78,8 +78,10 @@ def significant_tests(spark: SparkSession, d: str) -> DataFrame:
 
 
 def two_sided_tests(spark: SparkSession, d: str) -> DataFrame:
-    """F11, with the genes of small ids annotated."""
-    return diffexp.two_sided(_tests(spark, d), annotate=F.col("gene_id") <= 10).select("contrast_group", "cluster_id", "gene_id", "fold", "q")
+    """F11, with the mitochondrial genes annotated."""
+    listed = qc.gene_set(table(spark, d, "genes"), qc.MITOCHONDRIAL).select("gene_id", F.lit(True).alias("listed"))
+    tests = _tests(spark, d).join(listed, "gene_id", "left")
+    return diffexp.two_sided(tests, annotate=F.coalesce("listed", F.lit(False))).select("contrast_group", "cluster_id", "gene_id", "fold", "q")
 
 
 def complete_tests(spark: SparkSession, d: str) -> DataFrame:
@@ -192,7 +194,7 @@ ORACLES = {
     "capitalise_symbols": "select gene_id, upper(symbol[1]) || lower(symbol[2:]) as symbol, upper(symbol) as upper_symbol from genes",
     "bh_adjust": _TESTS + ", rk as (select *, p * count(*) over g / rank() over (partition by contrast_group, cluster_id order by p) as r0, p * count(*) over g / (count(*) over (partition by contrast_group, cluster_id order by p range between unbounded preceding and current row)) as raw from ts where p is not null and not isnan(p) window g as (partition by contrast_group, cluster_id)) select contrast_group, cluster_id, gene_id, adjusted from ts left join (select contrast_group, cluster_id, gene_id, least(1.0, min(raw) over (partition by contrast_group, cluster_id order by p range between current row and unbounded following)) as adjusted from rk) using (contrast_group, cluster_id, gene_id)",
     "significant_tests": _TESTS + "select contrast_group, cluster_id, gene_id, fold, q from ts where q <= 0.05 and fold >= 1.5",
-    "two_sided_tests": _TESTS + "select contrast_group, cluster_id, gene_id, fold, q from ts where ((fold >= 1.5 or fold <= 1 / 1.5) and q <= 0.05) or gene_id <= 10",
+    "two_sided_tests": _TESTS + "select contrast_group, cluster_id, gene_id, fold, q from ts where ((fold >= 1.5 or fold <= 1 / 1.5) and q <= 0.05) or gene_id in (select gene_id from genes where regexp_matches(symbol, '(?i)^mt-'))",
     "complete_tests": _TESTS + "select contrast_group, cluster_id, gene_id from ts where contrast_group is not null and logfc is not null and not isnan(logfc) and fold is not null and not isnan(fold) and t is not null and not isnan(t) and p is not null and not isnan(p) and q is not null and not isnan(q) and ave_expr is not null and not isnan(ave_expr)",
     "top_n_per_cluster": _TESTS + "select contrast_group, cluster_id, place, gene_id, fold from (select *, row_number() over (partition by contrast_group, cluster_id order by fold desc, gene_id)::int as place from ts where fold is not null and not isnan(fold)) where place <= 10",
     "confusion_table": _PLACED + "select run_id || ':' || cluster as run_cluster, dataset, count(*) as n, round(count(*) / sum(count(*)) over (partition by run_id || ':' || cluster), 6) as share from pl where dataset is not null group by 1, 2",
