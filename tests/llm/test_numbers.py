@@ -74,12 +74,15 @@ def test_neighbours_with_a_hot_vector(spark):
 
 def test_search_finds_the_neighbours_of_foreign_queries(spark):
     rng = np.random.default_rng(3)
-    x, q = rng.normal(size=(1500, 6)) * 10, rng.normal(size=(30, 6)) * 10
+    spots = rng.normal(size=(60, 6)) * 100  # far apart, so that the graph falls into parts
+    x, q = rng.normal(size=(1500, 6)) + spots[rng.integers(60, size=1500)], rng.normal(size=(30, 6)) + spots[rng.integers(60, size=30)]
     base = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id bigint, v array<double>")
-    graph = neighbours.neighbour_graph(base)
-    got = _found(neighbours.search(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(q)], "id bigint, v array<double>"), graph, 5))
+    index = neighbours.build(base)
+    got = _found(neighbours.search(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(q)], "id bigint, v array<double>"), index, 5))
     want = [set(np.argsort(((x - v) ** 2).sum(1))[:5].tolist()) for v in q]
     assert sum(len(set(got[i]) & want[i]) for i in range(30)) >= 0.9 * 150
+    queries = spark.createDataFrame([(1, [1.0, 2.0])], "id bigint, v array<double>")
+    assert neighbours.search(queries, neighbours.build(queries.limit(0)), 5).count() == 0
 
 
 def test_usable_vectors_and_few_rows(spark):

@@ -10,13 +10,14 @@ and sends each the candidates that would enter its list. Rounds end when under `
 places change. A node's gathering is bounded by its leaf sizes at the start and later by geometry (a
 vector can be among the nearest of only so many others), not by the table.
 
-`search` answers queries that need not be in the graph: it walks greedily from a few entry nodes to
-the neighbours of the best nodes seen, all queries in step, one join a round.
+`search` answers queries that need not be in the graph: it walks greedily from nodes of the query's
+leaves to the neighbours of the best nodes seen, all queries in step, one join a round.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -65,6 +66,25 @@ def _forest(sample: np.ndarray, rows: int, trees: int, seed: int) -> list[tuple[
     return forest
 
 
+def _placing(forest: list[tuple[np.ndarray, np.ndarray]], total: int):
+    """Per (id, v) its single-precision vector and its leaf in every tree, the last being a random group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v = _matrix(batch.column("v"))
+            cells = np.zeros((len(v), len(forest) + 1), np.int64)
+            mixed = batch.column("id").to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            cells[:, -1] = (mixed >> np.uint64(20)) % np.uint64(max(1, total // LEAF))
+            for t, (planes, cuts) in enumerate(forest):
+                at = v @ planes.T if len(v) else np.zeros((0, len(planes)))
+                for level in range(len(planes)):
+                    cells[:, t] = cells[:, t] * 2 + (at[:, level] > cuts[level, cells[:, t]])
+            offsets = pa.array(np.arange(len(v) + 1) * cells.shape[1], pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v").cast(pa.list_(pa.float32())), pa.ListArray.from_arrays(offsets, pa.array(cells.ravel()))], names=["id", "vec", "cells"])
+
+    return run
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     flat = column.flatten().to_numpy(zero_copy_only=False)
@@ -165,8 +185,23 @@ def _lists_of(rows: DataFrame, k: int) -> DataFrame:
     return rows.groupBy("id").agg(F.max("vec").alias("vec"), *flat).mapInArrow(_merge(k), NODE)
 
 
-def neighbour_graph(vectors: DataFrame, *, width: int = 12, trees: int = 3, rounds: int = 8, settled: float = 0.002, seed: int = 7) -> DataFrame:
-    """(id, vec, ids, ds, new): for every (id, v) of distinct vectors its `width` nearest found, with squared distances.
+@dataclass(frozen=True)
+class Index:
+    """A neighbour graph (id, vec, ids, ds, new), the trees it started from and every vector's leaf in them."""
+
+    graph: DataFrame
+    forest: list[tuple[np.ndarray, np.ndarray]]
+    placed: DataFrame | None
+    total: int
+
+
+def neighbour_graph(vectors: DataFrame, **how) -> DataFrame:
+    """The graph of `build`."""
+    return build(vectors, **how).graph
+
+
+def build(vectors: DataFrame, *, width: int = 12, trees: int = 3, rounds: int = 8, settled: float = 0.002, seed: int = 7) -> Index:
+    """The index of every (id, v) of distinct vectors: its graph has the `width` nearest found, with squared distances.
 
     An empty table gives no rows; a single vector has an empty list.
     """
@@ -175,25 +210,13 @@ def neighbour_graph(vectors: DataFrame, *, width: int = 12, trees: int = 3, roun
     base = scratch.save(vectors.select("id", "v"), "vectors")
     total = base.count()
     if total == 0:
-        return base.select("id", F.expr("cast(null as array<float>)").alias("vec"), F.expr("cast(array() as array<bigint>)").alias("ids"), F.expr("cast(array() as array<float>)").alias("ds"), F.expr("cast(array() as array<boolean>)").alias("new"))
+        lists = [F.expr(f"cast(array() as array<{t}>)").alias(c) for c, t in (("ids", "bigint"), ("ds", "float"), ("new", "boolean"))]
+        return Index(base.select("id", F.expr("cast(null as array<float>)").alias("vec"), *lists), [], None, 0)
     drawn = base.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(SAMPLE).select("v").toArrow()
     sample = _matrix(drawn.column(0))
     forest = _forest(sample, total, trees, seed)
 
-    def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            v = _matrix(batch.column("v"))
-            cells = np.zeros((len(v), len(forest) + 1), np.int64)
-            mixed = batch.column("id").to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-            cells[:, -1] = (mixed >> np.uint64(20)) % np.uint64(max(1, total // LEAF))
-            for t, (planes, cuts) in enumerate(forest):
-                at = v @ planes.T
-                for level in range(len(planes)):
-                    cells[:, t] = cells[:, t] * 2 + (at[:, level] > cuts[level, cells[:, t]])
-            offsets = pa.array(np.arange(len(v) + 1) * cells.shape[1], pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v").cast(pa.list_(pa.float32())), pa.ListArray.from_arrays(offsets, pa.array(cells.ravel()))], names=["id", "vec", "cells"])
-
-    placed = scratch.save(base.mapInArrow(leaves, "id bigint, vec array<float>, cells array<bigint>"), "placed")
+    placed = scratch.save(base.mapInArrow(_placing(forest, total), "id bigint, vec array<float>, cells array<bigint>"), "placed")
     planted = placed.select("id", "vec", F.posexplode("cells").alias("tree", "leaf"))
     parts = planted.groupBy("tree", "leaf").agg(F.ceil(F.count("*") / (2 * LEAF)).alias("parts"))
     member = F.struct("id", "vec", F.lit(float("inf")).cast("float").alias("far"), F.lit(True).alias("new"))
@@ -219,7 +242,7 @@ def neighbour_graph(vectors: DataFrame, *, width: int = 12, trees: int = 3, roun
         changed = graph.select(F.sum(F.size(F.filter("new", lambda x: x)))).first()[0] or 0
         if changed <= settled * width * total:
             break
-    return graph
+    return Index(graph, forest, placed, total)
 
 
 def nearest(vectors: DataFrame, graph: DataFrame, k: int) -> DataFrame:
@@ -249,32 +272,39 @@ def knn(rows: DataFrame, k: int, **how) -> DataFrame:
     return out.select(F.col("own").alias("id"), (F.col("place") + 1).alias("place"), F.col("x.id").alias("other"), F.col("x.d2").alias("d2"))
 
 
-def search(queries: DataFrame, graph: DataFrame, k: int, *, beam: int = 24, expand: int = 4, entries: int = 16, rounds: int = 24, seed: int = 11) -> DataFrame:
+def search(queries: DataFrame, index: Index, k: int, *, beam: int = 24, expand: int = 4, entries: int = 32, rounds: int = 24, seed: int = 11) -> DataFrame:
     """(id, place, other, d2): for every query (id, v) the k nearest nodes that a greedy walk over the graph finds.
 
-    A walk starts from `entries` nodes, keeps its `beam` best, and each round looks at the neighbours of its
-    `expand` best that it has not opened, until none is left to open or after `rounds` rounds. Distances are
-    those of the graph's single-precision vectors.
+    A walk starts from up to `entries` nodes of the query's leaf in every tree, keeps its `beam` best, and each round
+    looks at the nodes that its `expand` best unopened ones list or are listed by, until none is left to open or after
+    `rounds` rounds. Distances are those of single-precision vectors. An empty index gives no rows.
     """
     spark = queries.sparkSession
     scratch = Scratch(spark, "search")
-    nodes = graph.select(F.col("id").alias("node"), F.col("vec"), "ids")
-    doors = nodes.orderBy(F.xxhash64(F.lit(seed), "node"), "node").limit(entries).select("node", "vec")
-    walk = scratch.save(queries.select("id", F.transform("v", lambda x: x.cast("float")).alias("q")), "queries")
+    if index.placed is None:
+        return queries.select("id", F.lit(0).alias("place"), F.lit(0).cast("bigint").alias("other"), F.lit(0.0).alias("d2")).limit(0)
+    ways = index.graph.select("id", F.explode("ids").alias("to"))
+    sides = ways.unionByName(ways.select(F.col("to").alias("id"), F.col("id").alias("to")))
+    nodes = scratch.save(index.graph.select(F.col("id").alias("node"), "vec").join(sides.groupBy(F.col("id").alias("node")).agg(F.collect_set("to").alias("ids")), "node", "left"), "nodes")
+    some = Window.partitionBy("tree", "leaf").orderBy(F.xxhash64(F.lit(seed), "node"), "node")
+    leaves = index.placed.select(F.col("id").alias("node"), "vec", F.posexplode("cells").alias("tree", "leaf"))
+    doors = leaves.withColumn("n", F.row_number().over(some)).where(F.col("n") <= entries).drop("n")
+    walk = scratch.save(queries.mapInArrow(_placing(index.forest, index.total), "id bigint, vec array<float>, cells array<bigint>").withColumnRenamed("vec", "q"), "queries")
     gap = F.aggregate(F.zip_with("q", "vec", lambda a, b: ((a - b) * (a - b)).cast("double")), F.lit(0.0), lambda s, x: s + x)
-    seen = lambda opened: F.collect_list(F.struct(gap.alias("d2"), F.col("node").alias("id"), F.lit(opened).alias("open")))
-    begun = walk.join(F.broadcast(doors)).groupBy("id").agg(F.first("q").alias("q"), seen(False).alias("best"))
+    seen = F.collect_set(F.struct(gap.alias("d2"), F.col("node").alias("id"), F.lit(False).alias("open")))
+    begun = walk.select("id", "q", F.posexplode("cells").alias("tree", "leaf")).join(doors, ["tree", "leaf"]).groupBy("id").agg(F.first("q").alias("q"), seen.alias("best"))
     state = scratch.save(begun.select("id", "q", F.slice(F.sort_array("best"), 1, beam).alias("best")), "state")
+    none = F.expr("cast(array() as array<bigint>)")
     for _ in range(rounds):
-        nexts = F.slice(F.filter("best", lambda x: ~x.open), 1, expand)
-        going = state.withColumn("nexts", F.transform(nexts, lambda x: x.id)).where(F.size("nexts") > 0)
+        nexts = F.transform(F.slice(F.filter("best", lambda x: ~x.open), 1, expand), lambda x: x.id)
+        going = state.withColumn("nexts", nexts).where(F.size("nexts") > 0)
         steps = going.select("id", F.explode("nexts").alias("node")).join(nodes.select("node", "ids"), "node").select("id", F.explode("ids").alias("node")).distinct()
-        met = steps.join(going.select("id", "q"), "id").join(nodes.select("node", "vec"), "node").groupBy("id").agg(seen(False).alias("met"))
+        met = steps.join(going.select("id", "q"), "id").join(nodes.select("node", "vec"), "node").groupBy("id").agg(seen.alias("met"))
         known = F.transform("best", lambda x: x.id)
-        opened = F.transform("best", lambda x: F.struct(x.d2.alias("d2"), x.id.alias("id"), (x.open | F.array_contains(F.coalesce("nexts", F.expr("cast(array() as array<bigint>)")), x.id)).alias("open")))
-        met_new = F.filter(F.coalesce("met", F.expr("cast(array() as array<struct<d2: double, id: bigint, open: boolean>>)")), lambda x: ~F.array_contains(known, x.id))
+        opened = F.transform("best", lambda x: F.struct(x.d2.alias("d2"), x.id.alias("id"), (x.open | F.array_contains(F.coalesce("nexts", none), x.id)).alias("open")))
+        fresh = F.filter(F.coalesce("met", F.expr("cast(array() as array<struct<d2: double, id: bigint, open: boolean>>)")), lambda x: ~F.array_contains(known, x.id))
         joined = state.join(going.select("id", "nexts"), "id", "left").join(met, "id", "left")
-        state = scratch.save(joined.select("id", "q", F.slice(F.sort_array(F.concat(opened, met_new)), 1, beam).alias("best")), "state")
+        state = scratch.save(joined.select("id", "q", F.slice(F.sort_array(F.concat(opened, fresh)), 1, beam).alias("best")), "state")
         if state.where(F.exists("best", lambda x: ~x.open)).isEmpty():
             break
     out = state.select("id", F.posexplode(F.slice("best", 1, k)).alias("place", "x"))

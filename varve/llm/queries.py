@@ -47,9 +47,9 @@ def p2_search(spark: SparkSession, d: str) -> DataFrame:
     scratch = Scratch(spark, "p2-search")
     rows = scratch.save(_p2_vectors(spark, d), "rows")
     vectors = scratch.save(neighbours.distinct_vectors(rows, 6), "distinct")
-    graph = neighbours.neighbour_graph(vectors)
+    index = neighbours.build(vectors)
     asked = rows.where("id % 100 = 0")
-    near = neighbours.search(asked, graph, 6).join(vectors.select(F.col("id").alias("other"), "same"), "other")
+    near = neighbours.search(asked, index, 6).join(vectors.select(F.col("id").alias("other"), "same"), "other")
     every = near.select("id", "d2", F.explode("same").alias("other")).where("id <> other")
     best = F.slice(F.sort_array(F.collect_list(F.struct("d2", "other"))), 1, 5)
     out = every.groupBy("id").agg(best.alias("b")).select("id", F.posexplode("b").alias("place", "x"))
