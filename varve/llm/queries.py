@@ -150,7 +150,7 @@ def _p5_groups(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     real = table(spark, d, "runs").where("kind = 'real'").select("run_id", "project").distinct()
     member = table(spark, d, "membership")
     top = member.groupBy("run_id").agg(F.max("lvl").alias("lvl"))
-    rows = member.join(top, ["run_id", "lvl"]).join(real, "run_id")
+    rows = scratch.save(member.join(top, ["run_id", "lvl"]).join(real, "run_id").select("project", "run_id", "cell_id", "cluster_id"), "rows")
     split = rows.groupBy("run_id").agg(F.min("cluster_id").alias("a"), F.max("cluster_id").alias("b")).where("a < b")
     nodes, members = clusters.label_lists(rows.join(split, "run_id", "left_semi"), "project", "cell_id", "run_id", "cluster_id")
     nodes, members = scratch.save(nodes, "nodes"), scratch.save(members, "members")
