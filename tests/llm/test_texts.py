@@ -133,3 +133,9 @@ def test_own_text_of_nested_quotes():
     text = "On 2020-01-01, x wrote:\n> a\n>> b\n| c\nmine &amp; [quote=y]q [quote=z]r[/quote] s[/quote] too\n--\nsig"
     assert spam.own_text(text).split() == ["mine", "&", "too"]
     assert spam.own_text("-- \nonly a signature") .split()[-1] == "signature"
+
+
+def test_own_text_ends_at_a_signature_below_a_rule():
+    assert spam.own_text("mine, all<hr><i>A slanted signature.</i>\n").split() == ["mine,", "all"]
+    assert spam.own_text("first<hr>then <i>slanted</i> and on").split() == ["first", "then", "slanted", "and", "on"]
+    assert spam.own_text("<hr><i>nothing else</i>").split() == ["nothing", "else"]

@@ -45,6 +45,7 @@ BULLET = re.compile(r"^\s*(?:\d+[.)]|[*\u2022+-])\s+")
 IMAGE = re.compile(r"\[img\].*?\[/img\]|<img\b[^<>]*>", re.I | re.S)
 OTHER_TAG = re.compile(r"</?[a-zA-Z][^<>]*>|\[/?(?:url|img|code|list|size|color|email|b|i|u|s|\*)(?:=[^\[\]]*)?\]", re.I)
 SIGNATURE = re.compile(r"^[ \t]*(?:--[ \t]*|_{5,}[ \t]*)$", re.M)
+RULED_SIGNATURE = re.compile(r"<hr\b[^<>]*>\s*<(i|em|small)\b[^<>]*>(?:(?!<hr\b).)*?</\1>\s*\Z", re.I | re.S)
 QUOTED_LINE = re.compile(r"^[ \t]*(?:[| \t]*>|(?:\|[ \t]*)+(?!.*\|))")
 LINK, MORE = "\ue000", "\ue001"
 URL = re.compile(r"(?:https?://|www\.)[^\s<>\[\]\"|]+", re.I)
@@ -63,7 +64,7 @@ def _link(address: str) -> str:
 
 def own_text(text: str | None) -> str:
     """The poster's own words, a line a visible line: without quotes in any style, the lines that introduce them, the
-    signature, images and code. A link is LINK, MORE for every further word of its address, and its text. None and
+    signature (below a line of dashes, or slanted below a rule), images and code. A link is LINK, MORE for every further word of its address, and its text. None and
     empty texts have none."""
     if not text:
         return ""
@@ -78,7 +79,11 @@ def own_text(text: str | None) -> str:
         kept.append("\n")
     if depth == 0:
         kept.append(text[at:])
-    text = BREAK.sub("\n", "".join(kept))
+    text = "".join(kept)
+    ruled = RULED_SIGNATURE.search(text)
+    if ruled and WORD.search(OTHER_TAG.sub(" ", text[: ruled.start()])):
+        text = text[: ruled.start()]
+    text = BREAK.sub("\n", text)
     lines: list[str] = []
     for line in text.split("\n"):
         if QUOTED_LINE.match(line):
