@@ -326,3 +326,11 @@ def test_projects_are_saved_and_merged(spark, tmp_path):
     assert {(r.project, r.cell_id): r.merged for r in merged["member"].collect()} == {("a", 1): 1, ("a", 2): 2, ("b", 1): 3, ("b", 2): 4}
     united = similarity.united_filter(spark.createDataFrame([("A", None), ("a", True), ("b", None), (None, True)], "symbol string, keep boolean"))
     assert {r.symbol: r.keep for r in united.collect()} == {"a": True, "b": False}
+
+
+def test_tasks_get_the_package_from_spark(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    entry._ship(spark)
+    entry._ship(spark)
+    assert any("varve" in name for name in spark.sparkContext._python_includes)
