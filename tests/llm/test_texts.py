@@ -97,6 +97,21 @@ def test_edited_copies_score(spark):
     assert got[1, 1].run == 10 and got[1, 1].score == 2 * 28 - 1 - 2
 
 
+def test_edited_copy_beside_a_verbatim_one(spark):
+    item = [f"t{i}" for i in range(40)]
+    edited = [f"x{i}" if i % 11 == 5 else w for i, w in enumerate(item)]
+    got = _leaks(spark, [(1, " ".join(item), 0), (2, " ".join(edited), 0)], [(1, " ".join(item), 0)])
+    assert got[1, 1].run == 40 and got[2, 1].run == 10 and got[2, 1].score == 2 * 36 - 4
+
+
+def test_documents_aligned_together_score_as_alone():
+    rng = np.random.default_rng(4)
+    documents = [rng.integers(0, 4, n).astype(np.uint64) for n in (15, 0, 3, 20, 1, 15)]
+    item = rng.integers(0, 4, 12).astype(np.uint64)
+    best, longest = leaks.align_all(documents, item)
+    assert [(int(s), int(r)) for s, r in zip(best, longest, strict=True)] == [leaks.align(d, item) for d in documents]
+
+
 def test_alignment_matches_the_plain_recurrence():
     rng = np.random.default_rng(3)
     for _ in range(20):
