@@ -218,6 +218,21 @@ def test_components_match_numpy(spark):
     assert test[-1].p == 1.0 and all(a.p <= b.p for a, b in zip(test, test[1:], strict=False))
 
 
+def test_shuffled_runs_cluster_a_pca_of_the_shuffle(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(30, 3)) @ rng.normal(size=(3, 6)) + np.arange(6)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "cell_id bigint, v array<double>")
+    met = []
+    real = calibration.graph.phenograph
+    monkeypatch.setattr(calibration.graph, "phenograph", lambda points, k: (met.append(np.array([r.pc for r in points.orderBy("cell_id").collect()])), real(points, k))[1])
+    runs, _ = calibration.cluster_analysis(df, 2, [0.2], 1)
+    assert runs.where("kind = 'shuffled'").count() == 1 and len(met) == 2
+    moved = np.stack([np.random.default_rng([1, 0, i]).permutation(v) for i, v in enumerate(x)])
+    for data, got in zip((x, moved), met, strict=True):
+        z = (data - data.mean(0)) / data.std(0, ddof=1)
+        assert np.allclose(np.abs(got), np.abs(z @ np.linalg.svd(z)[2][:2].T))
+
+
 def test_similarity_helpers(spark):
     pairs = spark.createDataFrame([("a", "b", 0.9), ("a", "c", 0.2), ("b", "c", 0.1)], "cluster1 string, cluster2 string, similarity double")
     assert {r.cluster: r.degree for r in similarity.degrees(pairs).collect()} == {"a": 2, "b": 1, "c": 1}
