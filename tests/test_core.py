@@ -202,6 +202,22 @@ def test_communities_of_planted_blobs(spark):
         graph.phenograph(points.limit(3), 2)
 
 
+def test_communities_settle(spark):
+    n = 150
+    links = [(i, (i + 1) % n) for i in range(n)]
+    edges = spark.createDataFrame([(min(a, b), max(a, b), 1.0) for a, b in links], "src bigint, dst bigint, w double")
+    rows = graph.louvain(edges).collect()
+    label = {r.cell_id: r.cluster for r in rows if r.level == 1}
+    for i in range(n):
+        def gain(c, i=i):
+            return sum(label[j % n] == c for j in (i - 1, i + 1)) - 2 * 2 * sum(label[j] == c for j in range(n) if j != i) / (2 * n)
+
+        assert max(gain(label[(i + s) % n]) for s in (-1, 1)) <= gain(label[i]) + 1e-9
+    top = {r.cell_id: r.cluster for r in rows if r.level == max(r.level for r in rows)}
+    sizes = {c: sum(v == c for v in top.values()) for c in set(top.values())}
+    assert all(top[a] == top[b] or 1 / n <= 2 * sizes[top[a]] * sizes[top[b]] / n**2 + 1e-9 for a, b in links)
+
+
 def test_components_match_numpy(spark):
     rng = np.random.default_rng(7)
     x = rng.normal(size=(40, 5)) @ rng.normal(size=(5, 5))
