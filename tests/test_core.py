@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from varve.functions import stats
 from varve.model import Project, current, first_match
 from varve.operators import calibration, diffexp, expression, graph, pca, qc, reduce, similarity
+from varve.plans import retail
 from varve.sources import matrices
 
 
@@ -258,6 +259,28 @@ def test_similarity_helpers(spark):
     assert branches["a"] == branches["b"] != branches["c"]
 
 
+def test_jaccard_of_tested_genes(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    sizes = spark.createDataFrame([("A/x", 20), ("A/y", 25), ("B/x", 30)], "cluster string, n bigint")
+    rows = []
+    for g in range(40):
+        for c, n in (("A/x", 20), ("A/y", 25), ("B/x", 30)):
+            v = np.maximum(rng.normal(1 + (2 if rng.random() < 0.3 else 0), 0.8, n), 0)
+            rows.append((c, g, float(v.sum()), float((v**2).sum()), int((v > 0).sum())))
+    sums = spark.createDataFrame(rows, "cluster string, gene_id bigint, s double, ss double, nnz bigint")
+    names = spark.createDataFrame([("A", "x"), ("A", "y"), ("B", "x")], "origin string, dataset string")
+    monkeypatch.setattr(retail, "_sums", lambda *a: (sums, sizes))
+    monkeypatch.setattr(retail.views, "retail_cells", lambda *a: names)
+    tests = diffexp.moderated_t(diffexp.one_vs_rest(sums, sizes, []), ["cluster"]).collect()
+    assert any(t.q <= 0.05 for t in tests) and any(t.q > 0.05 and t.fold >= 1 for t in tests)
+    got = retail.cluster_similarity_q(spark, "").collect()
+    assert len(got) == 3
+    for r in got:
+        for column, fold in (("jaccard", 1.0), ("jaccard2", 1.5)):
+            a, b = ({t.gene_id for t in tests if t.cluster == c and t.q <= 0.05 and t.fold >= fold} for c in (r.cluster1, r.cluster2))
+            assert r[column] == (round(len(a & b) / len(a | b), 5) if a | b else None)
+
+
 def test_offsets_and_choice_of_ratio(spark):
     member = spark.createDataFrame([("a", 1, 1), ("a", 2, 3), ("b", 3, 1), ("c", 4, 2)], "dataset string, cell_id bigint, cluster int")
     assert {r.cell_id: r.merged for r in similarity.merge_clusters(member).collect()} == {1: 1, 2: 3, 3: 4, 4: 6}

@@ -209,10 +209,14 @@ def varying_genes(spark: SparkSession, d: str) -> DataFrame:
 SAMPLE = "concat(origin, '/', dataset)"
 
 
-def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of the 25 (region, segment) clusters, origin being the region and experiment the segment."""
+def _pairs(spark: SparkSession, d: str, tested: bool = False) -> DataFrame:
+    """Pairs of the 25 (region, segment) clusters, origin being the region and experiment the segment.
+
+    The Jaccard columns count the genes by fold alone, as the SQL does, or with `tested` those with q <= 0.05 too.
+    """
     tests = diffexp.one_vs_rest(*_sums(spark, d, [], SAMPLE), [])
-    features = tests.select("cluster", "gene_id", "fold", F.col("mean1").alias("mean"), F.lit(0.0).alias("q"))
+    q = diffexp.moderated_t(tests, ["cluster"]) if tested else tests.withColumn("q", F.lit(0.0))
+    features = q.select("cluster", "gene_id", "fold", F.col("mean1").alias("mean"), "q")
     names = views.retail_cells(spark, d).select(F.expr(SAMPLE).alias("cluster"), "origin", F.col("dataset").alias("experiment"), F.concat(F.lit("s-"), F.expr(SAMPLE)).alias("sample")).distinct()
     return Scratch(spark, "pairs").save(similarity.describe(similarity.cluster_similarity(features), names), "pairs")
 
@@ -222,6 +226,12 @@ def cluster_similarity(spark: SparkSession, d: str) -> DataFrame:
     return rounded(_pairs(spark, d).select(*columns), 5)
 
 
+def cluster_similarity_q(spark: SparkSession, d: str) -> DataFrame:
+    """M23 with the q of the moderated test in the Jaccard columns."""
+    columns = ["cluster1", "cluster2", "n_genes", "similarity", "similarity_1", "ocldist", "ocldist_fc", "jaccard", "jaccard2"]
+    return rounded(_pairs(spark, d, tested=True).select(*columns), 5)
+
+
 def similarity_significance(spark: SparkSession, d: str) -> DataFrame:
     return similarity.with_significance(_pairs(spark, d)).select("cluster1", "cluster2", "similarity", "significance", "q_val", "significance_1", "q_val_1")
 
@@ -434,7 +444,7 @@ QUERIES = {
     for f in (
         qc_metrics, qc_filter, qc_quantiles, qc_metric_pairs, marker_cell_filter, gene_filter, prefilter_cells, subsample_cells, normalize_log, hvg, hvg_union, hvg_shared, gene_moments,
         signature_mean, similar_genes, controlled_score, signature_match, regress_genes, de_one_vs_rest, de_by_origin, de_moderated, detection_ratios, robust_markers, cluster_heatmap,
-        heatmap_row_order, heatmap_scaled, cluster_names, named_cells, varying_genes, cluster_similarity, similarity_significance, robust_similarity, robust_similarity_q, similarity_matrix,
+        heatmap_row_order, heatmap_scaled, cluster_names, named_cells, varying_genes, cluster_similarity, cluster_similarity_q, similarity_significance, robust_similarity, robust_similarity_q, similarity_matrix,
         sample_pair_matrix, similarity_scaled, mitochondrial_score, moderated_f, top_marker_heatmap, similarity_degree, similarity_branches, pair_scatter, activation_overlay, minmax_violin, group_means, dedupe_all_copies,
     )
 }
