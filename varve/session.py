@@ -31,31 +31,53 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from spark.checkpoint.dir; a temporary one only where none is set (tests)."""
+    """The folder that all executors share, from spark.checkpoint.dir.
+
+    Where none is set, a local master gets a temporary folder (tests); on a cluster that raises, as executors could not
+    read each other's tables.
+    """
     context = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not found:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='spark-varve-')}"
     if not context.getCheckpointDir():
         context.setCheckpointDir(found)
     return found
 
 
+def open_parquet(path: str):
+    """A file of the shared folder, opened in a task for its footer and single row groups."""
+    from urllib.parse import unquote
+
+    import pyarrow.fs as fs
+    import pyarrow.parquet as pq
+
+    if path.startswith("file:"):
+        system, inner = fs.LocalFileSystem(), unquote("/" + path[5:].lstrip("/"))
+    else:
+        system, inner = fs.FileSystem.from_uri(path)
+    return pq.ParquetFile(system.open_input_file(inner))
+
+
 class Scratch:
     """Tables written to the shared folder: they cut lineage and outlive a lost executor.
 
     A table is named within one Scratch; saving under a used name makes a new folder, so that a plan
-    may read the old one while the new one is written. `drop` removes tables no plan needs any more.
+    may read the old one while the new one is written. `renew` and `drop` remove tables no plan needs any more.
     """
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
         self.count = 0
+        self.last: dict[str, str] = {}
 
     def path(self, name: str) -> str:
         self.count += 1
-        return f"{self.root}/{name}-{self.count}"
+        self.last[name] = f"{self.root}/{name}-{self.count}"
+        return self.last[name]
 
     def write(self, df: DataFrame, name: str, **options: str) -> str:
         """Write and give the path."""
@@ -68,7 +90,16 @@ class Scratch:
         schema = df.schema
         return self.spark.read.schema(schema).parquet(self.write(df, name, **options))
 
+    def renew(self, df: DataFrame, name: str) -> DataFrame:
+        """Write, read back, and remove the table last saved under the name: no plan but `df` may still read that."""
+        gone = self.last.get(name)
+        new = self.save(df, name)
+        if gone:
+            self.drop(gone)
+        return new
+
     def drop(self, *paths: str) -> None:
+        """Removes tables that no plan needs any more."""
         jvm = self.spark.sparkContext._jvm
         for path in paths:
             target = jvm.org.apache.hadoop.fs.Path(path)
