@@ -15,6 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from varve.session import Scratch
+
 BITS = 10
 DEPTH = 24
 STRIDE = 6
@@ -43,9 +45,12 @@ class CountTree:
         self.schema = nodes.schema
         nodes.write.mode("append").partitionBy("level").parquet(self.path)
 
-    def nodes(self, level: int) -> DataFrame:
+    def nodes(self, level: int, below: DataFrame | None = None) -> DataFrame:
+        """(keys, node, n) of a stored level; with `below` (keys, _leaf) only the nodes under these, before any counting."""
         read = self.spark.read.schema(self.schema) if self.schema else self.spark.read
         rows = read.parquet(self.path).where(F.col("level") == level)
+        if below is not None:
+            rows = rows.withColumn("_leaf", F.shiftright("node", STRIDE)).join(below, [*self.keys, "_leaf"], "left_semi")
         return rows.groupBy(*self.keys, "node").agg(F.sum("n").alias("n")).where("n <> 0")
 
     def totals(self) -> DataFrame:
@@ -58,14 +63,15 @@ class CountTree:
         Targets whose rank is null, below 1 or beyond the source's records have no leaf and are left out.
         """
         at = targets.where(F.col(rank) >= 1).withColumn("_leaf", F.lit(0).cast("long")).withColumn("_rest", F.col(rank).cast("long"))
-        names = at.columns
+        names, scratch = at.columns, Scratch(self.spark, "descent")
         for level in range(STRIDE, DEPTH + 1, STRIDE):
-            below = self.nodes(level).select(*self.keys, F.shiftright("node", STRIDE).alias("_leaf"), F.struct("node", "n").alias("_c"))
+            below = self.nodes(level, at.select(*self.keys, "_leaf").distinct()).select(*self.keys, F.shiftright("node", STRIDE).alias("_leaf"), F.struct("node", "n").alias("_c"))
             below = below.groupBy(*self.keys, "_leaf").agg(F.sort_array(F.collect_list("_c")).alias("_c"))
             start = F.struct(F.col("_rest").alias("rest"), F.lit(None).cast("long").alias("node"))
             step = lambda s, c: F.when(s.node.isNotNull(), s).when(c.n >= s.rest, F.struct(s.rest.alias("rest"), c.node.alias("node"))).otherwise(F.struct((s.rest - c.n).alias("rest"), F.lit(None).cast("long").alias("node")))
             at = at.join(below, [*self.keys, "_leaf"]).withColumn("_s", F.aggregate("_c", start, step)).where(F.col("_s.node").isNotNull())
             at = at.withColumn("_leaf", F.col("_s.node")).withColumn("_rest", F.col("_s.rest")).select(*names)
+            at = scratch.renew(at, "at")
         return at.withColumnRenamed("_leaf", "leaf").withColumnRenamed("_rest", "rest")
 
 

@@ -1,9 +1,8 @@
 """Problem 4: exact percentiles of every group by one distributed sort, and summaries that combine.
 
-The rows are range-partitioned by (group, value), sorted within partitions and written; a row's index in
-its file is then its place. Counts per file and group give every group's offset in every file, so the
-files and indexes of the wanted order statistics are known, and only those are fetched: a group with a
-third of all rows lies in many files and no task sorts it whole.
+The sort with counts per partition is the core's (`varve.operators.order_statistics`): rows sorted by (group, value)
+over all files, counts per file and group, and from these the places of the wanted order statistics, which alone
+are read again. A group with a third of all rows lies in many files, and so does a value that many rows share.
 """
 
 from __future__ import annotations
@@ -13,40 +12,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from varve.session import Scratch
+from varve.operators.order_statistics import percentiles
 
-
-def _located(rows: DataFrame, keys: Sequence[str], value: str) -> tuple[DataFrame, DataFrame]:
-    """The sorted rows with file and place, and per file and group the start, count, offset and the group's n."""
-    spark = rows.sparkSession
-    v = F.col(value).cast("double")
-    plain = rows.where(v.isNotNull() & ~F.isnan(v)).select(*keys, v.alias("_v"))
-    path = Scratch(spark, "sorted").write(plain.repartitionByRange(*keys, "_v").sortWithinPartitions(*keys, "_v"), "rows")
-    back = spark.read.schema(plain.schema).parquet(path).select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
-    pieces = back.groupBy(*keys, "_file").agg(F.min("_row").alias("_start"), F.count("*").alias("_cnt"), F.min("_v").alias("_low"))
-    group = Window.partitionBy(*keys)
-    offset = F.sum("_cnt").over(group.orderBy("_low", "_file").rowsBetween(Window.unboundedPreceding, -1))
-    return back, pieces.withColumn("_off", F.coalesce(offset, F.lit(0))).withColumn("n", F.sum("_cnt").over(group))
-
-
-def _fetch(back: DataFrame, pieces: DataFrame, keys: Sequence[str], probs: Sequence[float]) -> DataFrame:
-    place = lambda p: (F.col("n") - 1) * F.lit(float(p))
-    ends = [F.struct(F.lit(float(p)).alias("p"), (place(p) - F.floor(place(p))).alias("f"), end(place(p)).cast("long").alias("at")) for p in probs for end in (F.floor, F.ceil)]
-    wanted = pieces.select(*keys, "n", "_file", "_start", "_cnt", "_off", F.explode(F.array_distinct(F.array(*ends))).alias("w"))
-    wanted = wanted.where((F.col("w.at") >= F.col("_off")) & (F.col("w.at") < F.col("_off") + F.col("_cnt")))
-    wanted = wanted.select(*keys, "n", "w.p", "w.f", "_file", (F.col("_start") + F.col("w.at") - F.col("_off")).alias("_row"))
-    hit = wanted.join(back.select("_file", "_row", "_v"), ["_file", "_row"])
-    low, high = F.min("_v"), F.max("_v")
-    return hit.groupBy(*keys, "p").agg(F.max("n").alias("n"), (low + F.max("f") * (high - low)).alias("value"))
-
-
-def percentiles(rows: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
-    """(keys, p, n, value): exact percentiles, linear between neighbouring order statistics.
-
-    Null and NaN values do not count; a group without other values, and an empty table, give no row. A null
-    in a key is a group of its own.
-    """
-    return _fetch(*_located(rows, keys, value), keys, probs)
+__all__ = ["combine", "percentiles", "summaries"]
 
 
 def summaries(rows: DataFrame, keys: Sequence[str], value: str, points: int = 100) -> DataFrame:

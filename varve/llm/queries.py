@@ -56,15 +56,18 @@ def p2_search(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.col("id").alias("cell_id"), (F.col("place") + 1).alias("place"), F.col("x.other").alias("neighbour"), F.col("x.d2").alias("d2"))
 
 
+def _targets(spark: SparkSession, d: str, values: DataFrame) -> DataFrame:
+    """(dataset, field_name, keep_pct) by the datasets' origins."""
+    goals = table(spark, d, "cutoff_targets").groupBy("origin", "field_name").agg(F.max("keep_pct").alias("keep_pct"))
+    sources = values.groupBy("dataset").agg(F.max("origin").alias("origin"))
+    return sources.join(goals, "origin").select("dataset", "field_name", "keep_pct")
+
+
 def _p3(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     scratch = Scratch(spark, "p3")
     values = scratch.save(tables.cell_values(spark, d), "values")
-    keys = ["dataset", "field_name"]
-    goals = table(spark, d, "cutoff_targets").groupBy("origin", "field_name").agg(F.max("keep_pct").alias("keep_pct"))
-    sources = values.groupBy("dataset").agg(F.max("origin").alias("origin"))
-    targets = sources.join(goals, "origin").select(*keys, "keep_pct")
-    tree = cut.CountTree(spark, scratch.path("tree"), keys)
-    return values, cut.cutoffs(values, targets, keys, "score", tree)
+    tree = cut.CountTree(spark, scratch.path("tree"), ["dataset", "field_name"])
+    return values, cut.cutoffs(values, _targets(spark, d, values), tree.keys, "score", tree)
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -74,10 +77,28 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_cutoffs(spark: SparkSession, d: str) -> DataFrame:
-    cutoffs = _p3(spark, d)[1]
+    return _cutoff_rows(_p3(spark, d)[1])
+
+
+def _cutoff_rows(cutoffs: DataFrame) -> DataFrame:
     return cutoffs.select("dataset", "field_name", F.col("keep_pct").cast("int").alias("keep_pct"), F.col("n").alias("n_values"), "cutoff", F.col("kept").alias("n_kept"))
 
 
+def p3_batches(spark: SparkSession, d: str) -> DataFrame:
+    """p3_cutoffs from a tree that got its records in two batches: first what was loaded by the middle of the loading
+    times, then the later loads, the values they supersede being taken back."""
+    scratch, keys = Scratch(spark, "p3"), ["dataset", "field_name"]
+    loads = table(spark, d, "confounders")
+    middle = loads.agg(F.timestamp_micros(((F.min(F.unix_micros("loaded_at")) + F.max(F.unix_micros("loaded_at"))) / 2).cast("long")).alias("middle"))
+    early = scratch.save(tables.cell_values(spark, d, loads=loads.join(F.broadcast(middle)).where("loaded_at <= middle")), "early")
+    values, tree = scratch.save(tables.cell_values(spark, d), "values"), cut.CountTree(spark, scratch.path("tree"), keys)
+    same = [*keys, "cell_id", "score"]
+    tree.add(early, "score")
+    tree.add(values.join(early, same, "left_anti"), "score")
+    tree.add(early.join(values, same, "left_anti"), "score", -1)
+    return _cutoff_rows(cut.cutoffs(values, _targets(spark, d, values), keys, "score", tree, add=False))
+
+
 VALUES_SQL = """
 latest as (select cell_id, max_by(struct_pack(numi := numi, ngenes := ngenes, day := measured_on), loaded_at) c from confounders group by 1),
 source as (select cell_id, max(dataset) dataset, max(origin) origin from cells where dataset is not null group by 1),
@@ -100,11 +121,11 @@ def _p4_levels(spark: SparkSession, d: str) -> DataFrame:
     """Every value twice: for its dataset (day null) and for its day; a value without a day only for its dataset."""
     values = tables.cell_values(spark, d, ("measured_on",))
     levels = F.explode(F.array_distinct(F.array(F.lit(None).cast("date"), F.col("measured_on"))))
-    return values.select("dataset", "field_name", levels.alias("day"), "score")
+    return values.select("dataset", "field_name", levels.alias("day"), "score", "cell_id")
 
 
 def _p4_wide(spark: SparkSession, d: str) -> DataFrame:
-    found = percentiles.percentiles(_p4_levels(spark, d), ["dataset", "field_name", "day"], "score", P4_PROBS)
+    found = percentiles.percentiles(_p4_levels(spark, d), ["dataset", "field_name", "day"], "score", P4_PROBS, ["cell_id"])
     at = [F.max(F.when(F.col("p") == p, F.col("value"))).alias(f"p{round(100 * p)}") for p in P4_PROBS]
     return Scratch(spark, "p4").save(found.groupBy("dataset", "field_name", "day").agg(F.max("n").alias("n_values"), *at), "percentiles")
 
@@ -133,12 +154,23 @@ def p4_combined(spark: SparkSession, d: str) -> DataFrame:
     return percentiles.combine(days, ["dataset", "field_name"], P4_PROBS)
 
 
+def p4_bounds(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the combined percentiles keep their bound: the shares of values below and up to each are counted."""
+    keys = ["dataset", "field_name"]
+    values = tables.cell_values(spark, d).select(*keys, "score")
+    combined = Scratch(spark, "p4").save(p4_combined(spark, d), "combined")
+    met = values.join(combined, keys).groupBy(*keys, "p").agg(F.first("n").alias("n_values"), F.first("error").alias("e"), F.count_if(F.col("score") < F.col("value")).alias("below"), F.count_if(F.col("score") <= F.col("value")).alias("up"))
+    within = (F.col("below") / F.col("n_values") <= F.col("p") + F.col("e")) & (F.col("up") / F.col("n_values") >= F.col("p") - F.col("e"))
+    return met.select(*keys, "p", "n_values", within.alias("within"))
+
+
 P4_LEVELS_SQL = f"""with {VALUES_SQL},
 lvl as (select dataset, field_name, null::date as day, score from val union all select dataset, field_name, day, score from val where day is not null),
 wide as (select dataset, field_name, day, count(*) n_values, quantile_cont(score, 0.1) p10, quantile_cont(score, 0.5) p50, quantile_cont(score, 0.9) p90
          from lvl group by all)
 """
 P4_PERCENTILES_SQL = P4_LEVELS_SQL + "select dataset, strftime(day, '%Y-%m-%d') as measured_on, field_name, n_values, round(p10, 6) p10, round(p50, 6) p50, round(p90, 6) p90 from wide"
+P4_BOUNDS_SQL = f"with {VALUES_SQL} select dataset, field_name, p::double as p, count(*) as n_values, true as within from val, (values (0.1), (0.5), (0.9)) t(p) group by all"
 P4_FOUND_SQL = P4_LEVELS_SQL + """,
 judged as (select *, count(*) over (partition by dataset, field_name) as n_days from wide where day is not null and n_values >= 25)
 select j.dataset, strftime(j.day, '%Y-%m-%d') as measured_on, j.field_name from judged j join wide w on w.day is null and w.dataset = j.dataset and w.field_name = j.field_name
@@ -207,9 +239,11 @@ QUERIES = {
     "p2_search": p2_search,
     "p3_found": p3_found,
     "p3_cutoffs": p3_cutoffs,
+    "p3_batches": p3_batches,
     "p4_found": p4_found,
     "p4_percentiles": p4_percentiles,
     "p4_combined": p4_combined,
+    "p4_bounds": p4_bounds,
     "p5_found": p5_found,
     "p5_groups": p5_groups,
     "p6_containers": p6_containers,
@@ -223,6 +257,8 @@ ORACLES = {
     "p1_top_tests": P1_SQL.format("contrast_group, cluster_id, place::int as place, gene_id, logfc, q"),
     "p3_found": P3_FOUND_SQL,
     "p3_cutoffs": P3_CUTOFFS_SQL,
+    "p3_batches": P3_CUTOFFS_SQL,
     "p4_found": P4_FOUND_SQL,
     "p4_percentiles": P4_PERCENTILES_SQL,
+    "p4_bounds": P4_BOUNDS_SQL,
 }

@@ -14,11 +14,11 @@ def cell_sources(spark: SparkSession, d: str) -> DataFrame:
     return cells.groupBy("cell_id").agg(F.max("dataset").alias("dataset"), F.max("origin").alias("origin"))
 
 
-def cell_values(spark: SparkSession, d: str, extra: tuple[str, ...] = ()) -> DataFrame:
+def cell_values(spark: SparkSession, d: str, extra: tuple[str, ...] = (), loads: DataFrame | None = None) -> DataFrame:
     """(cell_id, dataset, origin, extra, field_name, score): the current values of cells with a dataset that are
-    not null, not NaN and above zero."""
+    not null, not NaN and above zero. loads: the loads of confounders to go by, by default all."""
     latest = F.max_by(F.struct("numi", "ngenes", *extra), "loaded_at").alias("c")
-    current = table(spark, d, "confounders").groupBy("cell_id").agg(latest)
+    current = (table(spark, d, "confounders") if loads is None else loads).groupBy("cell_id").agg(latest)
     rows = current.join(cell_sources(spark, d), "cell_id")
     fields = F.array(*(F.struct(F.lit(f).alias("field_name"), F.col(f"c.{f}").cast("double").alias("score")) for f in ("numi", "ngenes")))
     out = rows.select("cell_id", "dataset", "origin", *(F.col(f"c.{e}") for e in extra), F.explode(fields).alias("x"))

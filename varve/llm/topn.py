@@ -20,25 +20,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from varve.session import Scratch
+from varve.session import Scratch, open_parquet
 
 ROW_GROUP_ROWS = 20_000
 FIRST_WIDTH = 8
 
 
-def _open(path: str):
-    from urllib.parse import unquote
-
-    import pyarrow.fs as fs
-    import pyarrow.parquet as pq
-
-    if path.startswith("file:"):
-        system, inner = fs.LocalFileSystem(), unquote("/" + path[5:].lstrip("/"))
-    else:
-        system, inner = fs.FileSystem.from_uri(path)
-    return pq.ParquetFile(system.open_input_file(inner))
-
-
 def _zones(spark: SparkSession, path: str, group: Sequence[str], score: str, types: dict[str, T.DataType]) -> DataFrame:
     """One row per row group of the written files: its place, its group if it holds only one, its top score."""
     fields = [T.StructField("_path", T.StringType()), T.StructField("_part", T.IntegerType()), T.StructField("_one", T.BooleanType())]
@@ -51,7 +38,7 @@ def _zones(spark: SparkSession, path: str, group: Sequence[str], score: str, typ
         for batch in batches:
             rows = []
             for file in batch.column(0).to_pylist():
-                meta = _open(file).metadata
+                meta = open_parquet(file).metadata
                 at = {meta.schema.column(i).name: i for i in range(meta.num_columns)}
                 for part in range(meta.num_row_groups):
                     info = meta.row_group(part)
@@ -76,7 +63,7 @@ def _heads(zones: DataFrame, group: Sequence[str], n: int, schema: T.StructType,
         arrow = to_arrow_schema(schema)
         for batch in batches:
             for file, part in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True):
-                rows = _open(file).read_row_group(part, columns=columns).select(columns)
+                rows = open_parquet(file).read_row_group(part, columns=columns).select(columns)
                 if not rows.num_rows:
                     continue
                 starts = np.zeros(rows.num_rows, bool)
