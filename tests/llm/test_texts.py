@@ -43,9 +43,11 @@ def test_awkward_sizes_are_not_split(spark):
 def test_exchanges_raise_squared_fill():
     bins = [[(i, 0, s) for s in sizes] for i, sizes in enumerate(([60, 30], [50, 20], [45, 10], [35, 35]))]
     before = sum(sum(x[2] for x in b) ** 2 for b in bins)
-    after = packing._improve(bins, 100, 5)
+    after = packing._improve(bins, 100)
     assert sum(sum(x[2] for x in b) ** 2 for b in after) > before and len(after) == 3
-    assert packing._exchange(np.array([30, 20]), np.array([45]), 5, 1)[0] == 5
+    assert packing._exchange([(0, 0, 30), (1, 0, 20)], [(2, 0, 45)], 5, 1)[0] == 5
+    many = [(i, 0, 1) for i in range(900)] + [(999, 0, 20)]
+    assert packing._exchange(many, [(2, 0, 19)], 2, 1) == (2, (0, 900), (0,)) and packing._exchange([(2, 0, 19)], many, 17, 17) == (17, (0,), (0, 1))
 
 
 def test_tokens_of_whole_texts(spark):

@@ -5,11 +5,12 @@ order; the local search does the rest, in rounds: underfull containers
 are dealt into neighbourhoods (by fill, so that the emptiest meet, then by hash, so that others do) and,
 within one, documents are moved, exchanged one for one and two for one whenever that raises the sum of
 squared fills, until containers empty. A neighbourhood has at most NEAR containers, whatever the table's
-size.
+size. Within a neighbourhood and over the rounds the search goes on until it has settled.
 """
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,15 +26,17 @@ BINS = "bin string, fill bigint, items array<struct<doc_id: bigint, piece: int,
 
 
 def token_counts(documents: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, size): tokens of the whole text under the tokenizer in the given file; null and empty texts have none."""
+    """(doc_id, size): tokens of the whole text under the tokenizer in the given file, which Spark hands to the tasks; null
+    and empty texts have none."""
+    documents.sparkSession.sparkContext.addFile(vocabulary)
+    name = os.path.basename(vocabulary)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from pyspark import SparkFiles
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(vocabulary)
+        tokenizer = Tokenizer.from_file(SparkFiles.get(name))
         tokenizer.encode_special_tokens = True
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
@@ -76,43 +79,61 @@ def _first(capacity: int):
     return run
 
 
-def _exchange(give: np.ndarray, take: np.ndarray, room: int, need: int) -> tuple[int, tuple[int, ...], tuple[int, ...]] | None:
-    """Of giver's and taker's sizes the move, swap or two-for-one swap that fills the taker's room best: at
+def _sizes(items: list[tuple[int, int, int]]) -> tuple[np.ndarray, list[int]]:
+    """The distinct sizes of a container and for each a position; of those that occur twice a second one, else -1.
+
+    Distinct sizes add up to the capacity at most, so they are fewer than the root of twice the capacity, and so few that
+    every pair of them can be tried, however many items there are.
+    """
+    first: dict[int, list[int]] = {}
+    for i, item in enumerate(items):
+        held = first.setdefault(item[2], [])
+        if len(held) < 2:
+            held.append(i)
+    return np.array(list(first), np.int64), [held[0] for held in first.values()] + [held[1] if len(held) > 1 else -1 for held in first.values()]
+
+
+def _exchange(giver: list[tuple[int, int, int]], taker: list[tuple[int, int, int]], room: int, need: int) -> tuple[int, tuple[int, ...], tuple[int, ...]] | None:
+    """The move, swap or two-for-one swap of giver's and taker's items that fills the taker's room best: at
     least `need`, at most `room`. Returns the gain and the positions given and taken back."""
     best: tuple[int, tuple[int, ...], tuple[int, ...]] | None = None
+    (give, g), (take, t) = _sizes(giver), _sizes(taker)
 
-    def better(gain: int, out: tuple[int, ...], back: tuple[int, ...]) -> None:
-        nonlocal best
-        if need <= gain <= room and (best is None or gain > best[0]):
-            best = (gain, out, back)
+    def pairs(sizes: np.ndarray, at: list[int]) -> tuple[np.ndarray, list[tuple[int, int]]]:
+        i, j = np.triu_indices(len(sizes))
+        twice = np.array(at[len(sizes) :]) >= 0
+        fine = (i != j) | twice[i]
+        i, j = i[fine], j[fine]
+        return sizes[i] + sizes[j], [(at[x], at[y] if x != y else at[len(sizes) + y]) for x, y in zip(i.tolist(), j.tolist(), strict=True)]
 
     def fill(sums: np.ndarray, backs: np.ndarray, name_out, name_back) -> None:
         """The largest sums[i] - backs[j] within the room."""
+        nonlocal best
         if not len(sums) or not len(backs) or (best and best[0] == room):
             return
         order = np.argsort(sums, kind="stable")
         at = np.searchsorted(sums[order], backs + room, side="right") - 1
         gains = np.where(at >= 0, sums[order][np.maximum(at, 0)] - backs, -1)
         j = int(np.argmax(gains))
-        if gains[j] >= need:
-            better(int(gains[j]), name_out(int(order[at[j]])), name_back(j))
+        if gains[j] >= need and (best is None or gains[j] > best[0]):
+            best = (int(gains[j]), name_out(int(order[at[j]])), name_back(j))
 
     # equal fills are reached with large items where possible: what stays in the giver is then easy to place
-    if 2 <= len(take) <= 600:
-        c, d = np.triu_indices(len(take), 1)
-        fill(give, take[c] + take[d], lambda i: (i,), lambda j: (int(c[j]), int(d[j])))
-    fill(give, take, lambda i: (i,), lambda j: (j,))
-    if 2 <= len(give) <= 600:
-        a, b = np.triu_indices(len(give), 1)
-        fill(give[a] + give[b], take, lambda i: (int(a[i]), int(b[i])), lambda j: (j,))
-    fill(give, np.zeros(1, np.int64), lambda i: (i,), lambda j: ())
+    both, named = pairs(take, t)
+    fill(give, both, lambda i: (g[i],), lambda j: named[j])
+    fill(give, take, lambda i: (g[i],), lambda j: (t[j],))
+    both, given = pairs(give, g)
+    fill(both, take, lambda i: given[i], lambda j: (t[j],))
+    fill(give, np.zeros(1, np.int64), lambda i: (g[i],), lambda j: ())
     return best
 
 
-def _improve(bins: list[list[tuple[int, int, int]]], capacity: int, sweeps: int) -> list[list[tuple[int, int, int]]]:
-    """Moves and swaps that raise the sum of squared fills; givers are the emptiest containers, takers the fullest."""
+def _improve(bins: list[list[tuple[int, int, int]]], capacity: int) -> list[list[tuple[int, int, int]]]:
+    """Moves and swaps that raise the sum of squared fills, until none does; givers are the emptiest containers, takers
+    the fullest. The sum is a whole number with a bound, so there is an end."""
     fills = [sum(i[2] for i in b) for b in bins]
-    for _ in range(sweeps):
+    changed = True
+    while changed:
         changed = False
         for giver in sorted(range(len(bins)), key=lambda b: fills[b]):
             if not bins[giver]:
@@ -125,8 +146,7 @@ def _improve(bins: list[list[tuple[int, int, int]]], capacity: int, sweeps: int)
                 need = max(1, fills[giver] - fills[taker] + 1)
                 if need > room:
                     continue
-                sizes = [np.array([i[2] for i in bins[b]], np.int64) for b in (giver, taker)]
-                found = _exchange(*sizes, room, need)
+                found = _exchange(bins[giver], bins[taker], room, need)
                 if not found:
                     continue
                 gain, out, back = found
@@ -136,26 +156,24 @@ def _improve(bins: list[list[tuple[int, int, int]]], capacity: int, sweeps: int)
                 fills[giver] -= gain
                 fills[taker] += gain
                 changed = True
-        if not changed:
-            break
     return [b for b in bins if b]
 
 
-def _search(capacity: int, sweeps: int):
+def _search(capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[tuple[int, int, int]]] = []
         for batch in batches:
             held += [[(i["doc_id"], i["piece"], i["size"]) for i in items] for items in batch.column("items").to_pylist()]
             while len(held) >= NEAR:
-                yield _out(_improve(held[:NEAR], capacity, sweeps))
+                yield _out(_improve(held[:NEAR], capacity))
                 held = held[NEAR:]
         if held:
-            yield _out(_improve(held, capacity, sweeps))
+            yield _out(_improve(held, capacity))
 
     return run
 
 
-def pack(items: DataFrame, capacity: int, *, rounds: int = 4, sweeps: int = 4) -> DataFrame:
+def pack(items: DataFrame, capacity: int) -> DataFrame:
     """(doc_id, piece, n_tokens, container_id) for every (doc_id, size), doc_id being unique.
 
     piece counts the parts of an item over the capacity, from 0; all but its last fill a container each.
@@ -173,12 +191,16 @@ def pack(items: DataFrame, capacity: int, *, rounds: int = 4, sweeps: int = 4) -
     dealt = small.repartition(tasks(sized.count(), 2 * ITEMS), lot).sortWithinPartitions(lot, "doc_id", "piece")
     bins = scratch.save(dealt.mapInArrow(_first(capacity), BINS), "bins")
     under, done = bins.where(F.col("fill") < capacity), [bins.where(F.col("fill") >= capacity)]
-    for turn in range(rounds):
-        k = tasks(under.count(), 4 * NEAR)
+    left, idle, turn = under.count(), 0, 0
+    # by fill the emptiest meet, by hash others do; the search ends when neither kind of round empties a container
+    while left > 1 and idle < 2:
+        k = tasks(left, 4 * NEAR)
         near = under.repartitionByRange(k, "fill", "bin").sortWithinPartitions("fill", "bin") if turn % 2 == 0 else under.repartition(k, F.xxhash64(F.lit(turn), "bin")).sortWithinPartitions(F.xxhash64(F.lit(turn), "bin"), "bin")
-        bins = scratch.save(near.mapInArrow(_search(capacity, sweeps), BINS), "bins")
+        bins = scratch.save(near.mapInArrow(_search(capacity), BINS), "bins")
         under = bins.where(F.col("fill") < capacity)
         done.append(bins.where(F.col("fill") >= capacity))
+        after = bins.count()
+        idle, left, turn = 0 if after < left else idle + 1, under.count(), turn + 1
     packed = under
     for part in done:
         packed = packed.unionByName(part)

@@ -207,6 +207,23 @@ def p6_containers(spark: SparkSession, d: str, vocabulary: str = "/opt/tokenizer
     return packing.pack(sizes, 2048)
 
 
+def p6_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """One row that is the same for every right packing: posts, those with all their tokens placed once, and the containers over
+    2,048 tokens, posts cut without need and pieces cut short, of which there must be none."""
+    scratch = Scratch(spark, "p6")
+    sizes = scratch.save(packing.token_counts(table(spark, d, "documents"), "/opt/tokenizers/byte_bpe_50k.json"), "sizes")
+    rows = scratch.save(packing.pack(sizes, 2048), "rows")
+    own = rows.groupBy("doc_id").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("pieces"), F.countDistinct("piece").alias("kinds"), F.max("piece").alias("last"), F.count_if("container_id is null").alias("none"), F.count_if(F.col("n_tokens") == 2048).alias("full"))
+    met = sizes.join(own, "doc_id", "full")
+    once = (F.col("tokens") == F.col("size")) & (F.col("pieces") == F.col("kinds")) & (F.col("last") == F.col("pieces") - 1) & ((F.col("size") == 0) == (F.col("none") > 0))
+    posts = met.agg(F.count("*").alias("n_posts"), F.count_if(once).alias("n_placed"), F.count_if((F.col("size") <= 2048) & (F.col("pieces") > 1)).alias("n_cut"), F.count_if(F.col("full") < F.col("pieces") - 1).alias("n_short"))
+    over = rows.where("container_id is not null").groupBy("container_id").agg(F.sum("n_tokens").alias("t")).agg(F.count_if(F.col("t") > 2048).alias("n_over"))
+    return posts.join(F.broadcast(over))
+
+
+P6_INVARIANTS_SQL = "select count(*) as n_posts, count(*) as n_placed, 0::bigint as n_cut, 0::bigint as n_short, 0::bigint as n_over from documents"
+
+
 def _p7(spark: SparkSession, d: str, edited: bool) -> DataFrame:
     return leaks.leaks(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "eval_items").select("item_id", "text"), edited=edited)
 
@@ -247,6 +264,7 @@ QUERIES = {
     "p5_found": p5_found,
     "p5_groups": p5_groups,
     "p6_containers": p6_containers,
+    "p6_invariants": p6_invariants,
     "p7_found": p7_found,
     "p7_leaks": p7_leaks,
     "p8_found": p8_found,
@@ -261,4 +279,5 @@ ORACLES = {
     "p4_found": P4_FOUND_SQL,
     "p4_percentiles": P4_PERCENTILES_SQL,
     "p4_bounds": P4_BOUNDS_SQL,
+    "p6_invariants": P6_INVARIANTS_SQL,
 }
