@@ -72,6 +72,23 @@ def test_neighbours_with_a_hot_vector(spark):
     assert all(got[i] == [h for h in hot if h != i][:5] for i in hot)
 
 
+def test_hubs_and_full_leaves_are_cut_without_loss(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    spokes = rng.normal(size=(300, 8))
+    x = np.concatenate([np.zeros((1, 8)) + 1e-3, spokes / np.linalg.norm(spokes, axis=1, keepdims=True)])  # all near the first
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id bigint, v array<double>")
+    monkeypatch.setattr(neighbours, "HUB", 16)
+    monkeypatch.setattr(neighbours, "LEAF", 16)
+    monkeypatch.setattr(neighbours, "SAMPLE", 40)
+    index = neighbours.build(rows)
+    sizes = neighbours._gatherings(index.graph.withColumn("new", F.transform("ids", lambda _: F.lit(True)))).groupBy("at", "pair").count()
+    assert sizes.where("pair > 0").count() and sizes.agg(F.max("count")).first()[0] <= 64
+    near, want = {r.id: r.ids[:5] for r in index.graph.collect()}, _exact([(i, v) for i, v in enumerate(x)], 5)
+    assert sum(len(set(near[i]) & set(want[i])) for i in want) >= 0.95 * 5 * len(x)
+    with pytest.raises(RuntimeError):
+        neighbours.build(rows, rounds=1, settled=0.0)
+
+
 def test_search_finds_the_neighbours_of_foreign_queries(spark):
     rng = np.random.default_rng(3)
     spots = rng.normal(size=(60, 6)) * 100  # far apart, so that the graph falls into parts
@@ -137,6 +154,22 @@ def test_percentiles_match_numpy(spark):
     assert ("bare", 0.5) not in got and percentiles.percentiles(df.limit(0), ["k"], "x", [0.5]).count() == 0
 
 
+def test_a_hot_value_is_dealt_over_files(spark):
+    from varve.operators import order_statistics
+
+    rows = spark.range(60000).select((F.col("id") % 2).alias("k"), F.when(F.col("id") % 3 == 0, 7.0).otherwise(F.col("id") % 1000 / 100).alias("x"), "id")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        _, pieces = order_statistics.located(rows.repartition(8), ["k"], "x")
+        sizes = sorted(r.c for r in pieces.groupBy("_file").agg(F.sum("_cnt").alias("c")).collect())
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(sizes) >= 3 and sizes[-1] <= 2 * sum(sizes) / len(sizes)
+    got = {(r.k, r.p): r.value for r in percentiles.percentiles(rows, ["k"], "x", [0.3, 0.5, 0.699, 0.7, 0.9]).collect()}
+    v = rows.toPandas()
+    assert all(got[k, p] == pytest.approx(np.quantile(v.x[v.k == k], p)) for k in (0, 1) for p in (0.3, 0.5, 0.699, 0.7, 0.9))
+
+
 def test_combined_summaries_keep_their_bound(spark):
     rng = np.random.default_rng(6)
     rows = [("d", int(day), float(v)) for day in range(12) for v in rng.lognormal(day % 3, 1, int(rng.integers(1, 400)))]

@@ -2,13 +2,14 @@
 
 Equal vectors are one node, so that a vector held by a third of all rows is still one node. A graph of
 `width` neighbours a node starts from random groups and random-projection leaves: hyperplanes fitted on
-a bounded sample put every vector into one leaf per tree, and leaves over 2 LEAF rows are cut by hash; in
-these the nearest are found by comparing all. Each round then
+a sample of SAMPLE vectors put every vector into one leaf per tree, and leaves over 2 LEAF rows are cut into
+slabs along one more direction; in these the nearest are found by comparing all. Each round then
 joins neighbours of neighbours: every node gathers the vectors of the nodes it points to and of those
 that point to it, compares all of them that are not yet known to each other (one of the two is new),
 and sends each the candidates that would enter its list. Rounds end when under `settled` of the list
-places change. A node's gathering is bounded by its leaf sizes at the start and later by geometry (a
-vector can be among the nearest of only so many others), not by the table.
+places change. The gathering of a hub, which more than HUB nodes point to, is cut into chunks of which every
+pair is a gathering, so that no row and no distance matrix grows with it. A round's graph is removed when the
+next is written.
 
 `search` answers queries that need not be in the graph: it walks greedily from nodes of the query's
 leaves to the neighbours of the best nodes seen, all queries in step, one join a round.
@@ -27,7 +28,9 @@ from pyspark.sql import functions as F
 from varve.session import Scratch
 
 LEAF = 128
-SAMPLE = 20_000
+HUB = 256
+SAMPLE = 100_000
+PLACED = "id bigint, vec array<float>, cells array<bigint>, slant array<float>"
 NODE = "id bigint, vec array<float>, ids array<bigint>, ds array<float>, new array<boolean>"
 
 
@@ -49,38 +52,42 @@ def distinct_vectors(rows: DataFrame, copies: int) -> DataFrame:
 
 
 def _forest(sample: np.ndarray, rows: int, trees: int, seed: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Per tree random directions and, per level and cell, the sample's median: (depth, dim) and (depth, 2^depth)."""
+    """Per tree random directions and the sample's median per level and cell, level after level: (depth, dim) and (2^depth - 1)."""
     depth = int(np.clip(np.ceil(np.log2(max(2, rows / (LEAF * 0.7)))), 1, np.log2(max(4, len(sample) / 8))))
     rng, forest = np.random.default_rng(seed), []
     for _ in range(trees):
-        planes = rng.normal(size=(depth, sample.shape[1]))
-        cuts, cell = np.zeros((depth, 1 << depth)), np.zeros(len(sample), np.int64)
+        planes = rng.normal(size=(depth + 1, sample.shape[1]))
+        cuts, cell = np.zeros((1 << depth) - 1), np.zeros(len(sample), np.int64)
         for level in range(depth):
-            at = sample @ planes[level]
+            at, base = sample @ planes[level], (1 << level) - 1
             order = np.argsort(cell, kind="stable")
             names, starts = np.unique(cell[order], return_index=True)
             for name, part in zip(names, np.split(at[order], starts[1:]), strict=True):
-                cuts[level, name] = np.median(part)
-            cell = cell * 2 + (at > cuts[level, cell])
+                cuts[base + name] = np.median(part)
+            cell = cell * 2 + (at > cuts[base + cell])
         forest.append((planes, cuts))
     return forest
 
 
 def _placing(forest: list[tuple[np.ndarray, np.ndarray]], total: int):
-    """Per (id, v) its single-precision vector and its leaf in every tree, the last being a random group."""
+    """Per (id, v) its single-precision vector, its leaf in every tree and its place along the tree's last direction, the last
+    tree being random groups."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             v = _matrix(batch.column("v"))
             cells = np.zeros((len(v), len(forest) + 1), np.int64)
             mixed = batch.column("id").to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            slant = np.zeros(cells.shape, np.float32)
             cells[:, -1] = (mixed >> np.uint64(20)) % np.uint64(max(1, total // LEAF))
             for t, (planes, cuts) in enumerate(forest):
                 at = v @ planes.T if len(v) else np.zeros((0, len(planes)))
-                for level in range(len(planes)):
-                    cells[:, t] = cells[:, t] * 2 + (at[:, level] > cuts[level, cells[:, t]])
+                for level in range(len(planes) - 1):
+                    cells[:, t] = cells[:, t] * 2 + (at[:, level] > cuts[(1 << level) - 1 + cells[:, t]])
+                slant[:, t] = at[:, -1]
             offsets = pa.array(np.arange(len(v) + 1) * cells.shape[1], pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v").cast(pa.list_(pa.float32())), pa.ListArray.from_arrays(offsets, pa.array(cells.ravel()))], names=["id", "vec", "cells"])
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x.ravel())) for x in (cells, slant)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v").cast(pa.list_(pa.float32())), *lists], names=["id", "vec", "cells", "slant"])
 
     return run
 
@@ -185,6 +192,20 @@ def _lists_of(rows: DataFrame, k: int) -> DataFrame:
     return rows.groupBy("id").agg(F.max("vec").alias("vec"), *flat).mapInArrow(_merge(k), NODE)
 
 
+def _gatherings(graph: DataFrame) -> DataFrame:
+    """(at, pair, id, new): the nodes that every node points to or is pointed to by, where one of them is new.
+
+    Up to HUB of them are one gathering, with pair 0; more are dealt into chunks by hash, and every pair of chunks is one.
+    """
+    ways = graph.select("id", F.explode(F.arrays_zip("ids", "new")).alias("e")).select("id", F.col("e.ids").alias("to"), F.col("e.new").alias("new"))
+    both = ways.select(F.col("id").alias("at"), F.col("to").alias("id"), "new").unionByName(ways.select(F.col("to").alias("at"), "id", "new"))
+    here = Window.partitionBy("at")
+    live = both.withColumn("live", F.max("new").over(here)).withColumn("c", F.ceil(F.count("*").over(here) / HUB)).where("live")
+    own = F.pmod(F.xxhash64("id"), F.col("c"))
+    pairs = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("c") - 1), lambda o: F.least(o, F.col("own")) * F.col("c") + F.greatest(o, F.col("own")))
+    return live.withColumn("own", own).select("at", F.explode(pairs).alias("pair"), "id", "new")
+
+
 @dataclass(frozen=True)
 class Index:
     """A neighbour graph (id, vec, ids, ds, new), the trees it started from and every vector's leaf in them."""
@@ -200,10 +221,10 @@ def neighbour_graph(vectors: DataFrame, **how) -> DataFrame:
     return build(vectors, **how).graph
 
 
-def build(vectors: DataFrame, *, width: int = 12, trees: int = 3, rounds: int = 8, settled: float = 0.002, seed: int = 7) -> Index:
+def build(vectors: DataFrame, *, width: int = 12, trees: int = 3, rounds: int = 60, settled: float = 0.002, seed: int = 7) -> Index:
     """The index of every (id, v) of distinct vectors: its graph has the `width` nearest found, with squared distances.
 
-    An empty table gives no rows; a single vector has an empty list.
+    An empty table gives no rows; a single vector has an empty list. A graph that has not settled after `rounds` raises.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "neighbours")
@@ -216,32 +237,33 @@ def build(vectors: DataFrame, *, width: int = 12, trees: int = 3, rounds: int =
     sample = _matrix(drawn.column(0))
     forest = _forest(sample, total, trees, seed)
 
-    placed = scratch.save(base.mapInArrow(_placing(forest, total), "id bigint, vec array<float>, cells array<bigint>"), "placed")
-    planted = placed.select("id", "vec", F.posexplode("cells").alias("tree", "leaf"))
-    parts = planted.groupBy("tree", "leaf").agg(F.ceil(F.count("*") / (2 * LEAF)).alias("parts"))
+    placed = scratch.save(base.mapInArrow(_placing(forest, total), PLACED), "placed")
+    planted = placed.select("id", "vec", F.posexplode(F.arrays_zip("cells", "slant")).alias("tree", "c")).select("id", "vec", "tree", F.col("c.cells").alias("leaf"), F.col("c.slant").alias("slant"))
+    size = F.count("*").over(Window.partitionBy("tree", "leaf"))
+    rank = F.row_number().over(Window.partitionBy("tree", "leaf").orderBy("slant", "id"))
+    slab = F.floor((rank - 1) / F.ceil(size / F.ceil(size / (2 * LEAF))))
     member = F.struct("id", "vec", F.lit(float("inf")).cast("float").alias("far"), F.lit(True).alias("new"))
-    part = F.pmod(F.xxhash64(F.lit(seed), "id"), F.col("parts"))
-    start = planted.join(parts, ["tree", "leaf"]).groupBy("tree", "leaf", part.alias("part")).agg(F.collect_list(member).alias("m"))
+    start = planted.withColumn("slab", slab).groupBy("tree", "leaf", "slab").agg(F.collect_list(member).alias("m"))
     found = start.select("m").mapInArrow(_local_join(width), "id bigint, ids array<bigint>, ds array<float>")
     none = F.expr("cast(null as array<float>)")
     first = found.withColumn("vec", none).withColumn("new", F.transform("ids", lambda _: F.lit(True)))
     empty = [F.expr(f"cast(array() as array<{t}>)").alias(c) for c, t in (("ids", "bigint"), ("ds", "float"), ("new", "boolean"))]
     graph = scratch.save(_lists_of(first.unionByName(placed.select("id", "vec", *empty)), width), "graph")
     for _ in range(rounds):
-        ways = graph.select("id", F.explode(F.arrays_zip("ids", "new")).alias("e")).select("id", F.col("e.ids").alias("to"), F.col("e.new").alias("new"))
-        both = ways.select(F.col("id").alias("at"), F.col("to").alias("who"), "new").unionByName(ways.select(F.col("to").alias("at"), F.col("id").alias("who"), "new"))
-        meet = both.groupBy("at").agg(F.collect_list(F.struct("who", "new")).alias("m")).where(F.exists("m", lambda x: x.new))
-        asked = meet.select("at", F.explode("m").alias("e")).select("at", F.col("e.who").alias("id"), F.col("e.new").alias("new"))
+        asked = _gatherings(graph)
         far = F.when(F.size("ds") >= width, F.element_at("ds", -1)).otherwise(F.lit(float("inf")).cast("float"))
         sent = asked.join(graph.select("id", "vec", far.alias("far")), "id")
-        gathered = sent.groupBy("at").agg(F.collect_list(F.struct("id", "vec", "far", "new")).alias("m"))
+        gathered = sent.groupBy("at", "pair").agg(F.collect_list(F.struct("id", "vec", "far", "new")).alias("m"))
         found = gathered.select("m").mapInArrow(_local_join(width), "id bigint, ids array<bigint>, ds array<float>")
         fresh = found.withColumn("vec", none).withColumn("new", F.transform("ids", lambda _: F.lit(True)))
         known = graph.withColumn("new", F.transform("ids", lambda _: F.lit(False)))
-        graph = scratch.save(_lists_of(fresh.unionByName(known), width), "graph")
+        graph = scratch.renew(_lists_of(fresh.unionByName(known), width), "graph")
         changed = graph.select(F.sum(F.size(F.filter("new", lambda x: x)))).first()[0] or 0
         if changed <= settled * width * total:
             break
+    else:
+        raise RuntimeError(f"the neighbour graph has not settled after {rounds} rounds")
+    scratch.drop(scratch.last["vectors"])
     return Index(graph, forest, placed, total)
 
 
@@ -272,12 +294,12 @@ def knn(rows: DataFrame, k: int, **how) -> DataFrame:
     return out.select(F.col("own").alias("id"), (F.col("place") + 1).alias("place"), F.col("x.id").alias("other"), F.col("x.d2").alias("d2"))
 
 
-def search(queries: DataFrame, index: Index, k: int, *, beam: int = 24, expand: int = 4, entries: int = 32, rounds: int = 24, seed: int = 11) -> DataFrame:
+def search(queries: DataFrame, index: Index, k: int, *, beam: int = 24, expand: int = 4, entries: int = 32, rounds: int = 400, seed: int = 11) -> DataFrame:
     """(id, place, other, d2): for every query (id, v) the k nearest nodes that a greedy walk over the graph finds.
 
     A walk starts from up to `entries` nodes of the query's leaf in every tree, keeps its `beam` best, and each round
-    looks at the nodes that its `expand` best unopened ones list or are listed by, until none is left to open or after
-    `rounds` rounds. Distances are those of single-precision vectors. An empty index gives no rows.
+    looks at the nodes that its `expand` best unopened ones list or are listed by, until none is left to open; walks that
+    go on after `rounds` rounds raise. Distances are those of single-precision vectors. An empty index gives no rows.
     """
     spark = queries.sparkSession
     scratch = Scratch(spark, "search")
@@ -289,7 +311,7 @@ def search(queries: DataFrame, index: Index, k: int, *, beam: int = 24, expand:
     some = Window.partitionBy("tree", "leaf").orderBy(F.xxhash64(F.lit(seed), "node"), "node")
     leaves = index.placed.select(F.col("id").alias("node"), "vec", F.posexplode("cells").alias("tree", "leaf"))
     doors = leaves.withColumn("n", F.row_number().over(some)).where(F.col("n") <= entries).drop("n")
-    walk = scratch.save(queries.mapInArrow(_placing(index.forest, index.total), "id bigint, vec array<float>, cells array<bigint>").withColumnRenamed("vec", "q"), "queries")
+    walk = scratch.save(queries.mapInArrow(_placing(index.forest, index.total), PLACED).withColumnRenamed("vec", "q"), "queries")
     gap = F.aggregate(F.zip_with("q", "vec", lambda a, b: ((a - b) * (a - b)).cast("double")), F.lit(0.0), lambda s, x: s + x)
     seen = F.collect_set(F.struct(gap.alias("d2"), F.col("node").alias("id"), F.lit(False).alias("open")))
     begun = walk.select("id", "q", F.posexplode("cells").alias("tree", "leaf")).join(doors, ["tree", "leaf"]).groupBy("id").agg(F.first("q").alias("q"), seen.alias("best"))
@@ -304,8 +326,10 @@ def search(queries: DataFrame, index: Index, k: int, *, beam: int = 24, expand:
         opened = F.transform("best", lambda x: F.struct(x.d2.alias("d2"), x.id.alias("id"), (x.open | F.array_contains(F.coalesce("nexts", none), x.id)).alias("open")))
         fresh = F.filter(F.coalesce("met", F.expr("cast(array() as array<struct<d2: double, id: bigint, open: boolean>>)")), lambda x: ~F.array_contains(known, x.id))
         joined = state.join(going.select("id", "nexts"), "id", "left").join(met, "id", "left")
-        state = scratch.save(joined.select("id", "q", F.slice(F.sort_array(F.concat(opened, fresh)), 1, beam).alias("best")), "state")
+        state = scratch.renew(joined.select("id", "q", F.slice(F.sort_array(F.concat(opened, fresh)), 1, beam).alias("best")), "state")
         if state.where(F.exists("best", lambda x: ~x.open)).isEmpty():
             break
+    else:
+        raise RuntimeError(f"walks are still open after {rounds} rounds")
     out = state.select("id", F.posexplode(F.slice("best", 1, k)).alias("place", "x"))
     return out.select("id", (F.col("place") + 1).alias("place"), F.col("x.id").alias("other"), F.col("x.d2").alias("d2"))

@@ -43,17 +43,30 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_search(spark: SparkSession, d: str) -> DataFrame:
-    """The five nearest of every cell whose id is divisible by 100, found by greedy search of the graph of all cells."""
+    """The five nearest of every cell whose id is divisible by 100, found by greedy search of the graph of all cells.
+
+    The walk goes by single-precision distances; of the nodes it ends with, the nearest are told by double ones.
+    """
     scratch = Scratch(spark, "p2-search")
     rows = scratch.save(_p2_vectors(spark, d), "rows")
     vectors = scratch.save(neighbours.distinct_vectors(rows, 6), "distinct")
-    index = neighbours.build(vectors)
     asked = rows.where("id % 100 = 0")
-    near = neighbours.search(asked, index, 6).join(vectors.select(F.col("id").alias("other"), "same"), "other")
-    every = near.select("id", "d2", F.explode("same").alias("other")).where("id <> other")
+    near = neighbours.search(asked, neighbours.build(vectors), 12).select("id", "other")
+    gap = F.aggregate(F.zip_with("v", "w", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
+    met = near.join(vectors.select(F.col("id").alias("other"), F.col("v").alias("w"), "same"), "other").join(asked, "id")
+    every = met.select("id", gap.alias("d2"), F.explode("same").alias("other")).where("id <> other")
     best = F.slice(F.sort_array(F.collect_list(F.struct("d2", "other"))), 1, 5)
     out = every.groupBy("id").agg(best.alias("b")).select("id", F.posexplode("b").alias("place", "x"))
-    return out.select(F.col("id").alias("cell_id"), (F.col("place") + 1).alias("place"), F.col("x.other").alias("neighbour"), F.col("x.d2").alias("d2"))
+    return out.select(F.col("id").alias("cell_id"), (F.col("place") + 1).alias("place"), F.col("x.other").alias("neighbour"), F.round("x.d2", 6).alias("d2"))
+
+
+P2_SQL = """with newest as (select cell_id, max_by(pc, computed_at) as pc from pcs where cell_id is not null group by 1),
+v as (select cell_id, pc from newest where len(pc) = 20 and len(list_filter(pc, lambda x: x is null or isnan(x))) = 0 and len(list_filter(pc, lambda x: x <> 0)) > 0),
+gaps as (select a.cell_id as a, b.cell_id as b, list_sum(list_transform(list_zip(a.pc, b.pc), lambda x: (x[1] - x[2]) ** 2)) as d2 from v a join v b on a.cell_id <> b.cell_id {}),
+near as (select a, b, d2, row_number() over (partition by a order by d2, b)::int as place from gaps qualify place <= 5)
+"""
+P2_FOUND_SQL = P2_SQL.format("") + "select distinct least(a, b) as cell_a, greatest(a, b) as cell_b from near"
+P2_SEARCH_SQL = P2_SQL.format("and a.cell_id % 100 = 0") + "select a as cell_id, place, b as neighbour, round(d2, 6) as d2 from near"
 
 
 def _targets(spark: SparkSession, d: str, values: DataFrame) -> DataFrame:
@@ -213,7 +226,7 @@ def p6_invariants(spark: SparkSession, d: str) -> DataFrame:
     scratch = Scratch(spark, "p6")
     sizes = scratch.save(packing.token_counts(table(spark, d, "documents"), "/opt/tokenizers/byte_bpe_50k.json"), "sizes")
     rows = scratch.save(packing.pack(sizes, 2048), "rows")
-    own = rows.groupBy("doc_id").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("pieces"), F.countDistinct("piece").alias("kinds"), F.max("piece").alias("last"), F.count_if("container_id is null").alias("none"), F.count_if(F.col("n_tokens") == 2048).alias("full"))
+    own = rows.groupBy("doc_id").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("pieces"), F.countDistinct("piece").alias("kinds"), F.max("piece").alias("last"), F.count_if(F.col("container_id").isNull()).alias("none"), F.count_if(F.col("n_tokens") == 2048).alias("full"))
     met = sizes.join(own, "doc_id", "full")
     once = (F.col("tokens") == F.col("size")) & (F.col("pieces") == F.col("kinds")) & (F.col("last") == F.col("pieces") - 1) & ((F.col("size") == 0) == (F.col("none") > 0))
     posts = met.agg(F.count("*").alias("n_posts"), F.count_if(once).alias("n_placed"), F.count_if((F.col("size") <= 2048) & (F.col("pieces") > 1)).alias("n_cut"), F.count_if(F.col("full") < F.col("pieces") - 1).alias("n_short"))
@@ -273,6 +286,8 @@ QUERIES = {
 ORACLES = {
     "p1_found": P1_SQL.format("contrast_group, cluster_id, gene_id"),
     "p1_top_tests": P1_SQL.format("contrast_group, cluster_id, place::int as place, gene_id, logfc, q"),
+    "p2_found": P2_FOUND_SQL,
+    "p2_search": P2_SEARCH_SQL,
     "p3_found": P3_FOUND_SQL,
     "p3_cutoffs": P3_CUTOFFS_SQL,
     "p3_batches": P3_CUTOFFS_SQL,
