@@ -73,10 +73,12 @@ class Scratch:
         self.root = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
         self.count = 0
         self.last: dict[str, str] = {}
+        self.made: list[str] = []
 
     def path(self, name: str) -> str:
         self.count += 1
         self.last[name] = f"{self.root}/{name}-{self.count}"
+        self.made.append(self.last[name])
         return self.last[name]
 
     def write(self, df: DataFrame, name: str, **options: str) -> str:
