@@ -227,11 +227,50 @@ def test_groups_are_the_components_of_being_alike(spark, monkeypatch, chunk):
 def test_chains_and_stars_merge_in_few_rounds(spark):
     star = [("s", 500, 500 + i if i % 2 else 500 - i, 0.6 + 0.0007 * i) for i in range(1, 400)]
     links = spark.createDataFrame([(s, min(a, b), max(a, b), x) for s, a, b, x in star] + [("t", 1, 2, 0.59)], "scope string, a bigint, b bigint, like double")
-    got = clusters.average_linkage(links, 0.6, rounds=40)
+    got = clusters.average_linkage(links, 0.6, step=clusters.STEP, rounds=40)
     assert got.select("cluster").distinct().count() == 1 and got.count() == 400
     assert clusters.average_linkage(links.limit(0), 0.6).count() == 0
 
 
+def _merged(pairs, threshold, over):
+    """Average linkage of one scope, one best pair at a time."""
+    names = sorted({x for a, b, _ in pairs for x in (a, b)})
+    group, links = {x: {x} for x in names}, {frozenset((a, b)): s for a, b, s in pairs}
+
+    def average(p, q):
+        own = [links[frozenset((x, y))] for x in group[p] for y in group[q] if frozenset((x, y)) in links]
+        return (sum(own) / (len(own) if over == "links" else len(group[p]) * len(group[q]))) if own else -1
+
+    while True:
+        best = max(((average(p, q), -p, -q) for p in group for q in group if p < q), default=(-1,))
+        if best[0] < threshold:
+            return {x: p for p, own in group.items() for x in own}
+        group[-best[1]] |= group.pop(-best[2])
+
+
+@pytest.mark.parametrize("over", ["links", "pairs"])
+def test_linkage_is_that_of_one_merge_at_a_time(spark, over):
+    rng = np.random.default_rng(11)
+    blobs = [(a, b, round(float(rng.uniform(0.55, 1)), 6)) for k in (0, 20, 40) for a in range(k, k + 10) for b in range(a + 1, k + 10) if rng.random() < 0.7]
+    loose = [(int(a), int(b), round(float(rng.uniform(0.3, 0.8)), 6)) for a, b in {tuple(sorted(rng.choice(50, 2, replace=False))) for _ in range(60)} if not any(x[:2] == (a, b) for x in blobs)]
+    rows = [("p", a, b, s) for a, b, s in blobs + loose] + [("q", 1, 2, 0.9), ("q", 2, 3, float("nan")), ("q", 3, 4, None)]
+    got = {(r.scope, r.node): r.cluster for r in clusters.average_linkage(spark.createDataFrame(rows, "scope string, a bigint, b bigint, like double"), 0.6, over=over).collect()}
+    want = _merged(blobs + loose, 0.6, over)
+    assert {n: c for (s, n), c in got.items() if s == "p"} == {n: c for n, c in want.items() if ("p", n) in got}
+    assert {n: c for (s, n), c in got.items() if s == "q"} == {1: 1, 2: 1}
+
+
+def test_averages_stop_a_merge_that_one_link_would_make(spark):
+    dense = [("p", a, b, 0.9) for k in (0, 10) for a in range(k, k + 5) for b in range(a + 1, k + 5)]
+    bridge = [("p", 4, 10, 0.85)] + [("p", a, b, 0.1) for a in range(5) for b in range(10, 15) if (a, b) != (4, 10)]
+    links = lambda rows: spark.createDataFrame(rows, "scope string, a bigint, b bigint, like double")
+    single = {r.cluster for r in clusters.average_linkage(links(dense + bridge[:1]), 0.6).collect()}
+    for over, rows in (("links", dense + bridge), ("pairs", dense + bridge[:1])):
+        got = {r.node: r.cluster for r in clusters.average_linkage(links(rows), 0.6, over=over).collect()}
+        assert len(set(got.values())) == 2 and len(single) == 1
+        assert all(got[a] == got[b] for k in (range(5), range(10, 15)) for a in k for b in k)
+
+
 def test_typical_records(spark):
     rows = [("p", c, f"r{r}", 1 if c < 4 else 2) for c in range(5) for r in range(4)] + [("p", 9, f"r{r}", 1 if r < 3 else 7) for r in range(4)]
     nodes, members = clusters.label_lists(spark.createDataFrame(rows, "scope string, cell bigint, run string, label int"), "scope", "cell", "run", "label")

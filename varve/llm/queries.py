@@ -214,6 +214,25 @@ def p5_groups(spark: SparkSession, d: str) -> DataFrame:
     return best.select(F.col("scope").alias("project"), F.col("lead").alias("group_cell"), F.col("size").alias("n_cells"), "place", F.col("record").alias("cell_id"), F.round("likeness", 6).alias("likeness"))
 
 
+P5_SQL = """with recursive top as (select run_id, max(lvl) as lvl from membership group by 1),
+actual as (select distinct run_id, project from runs where kind = 'real'),
+held as (select project, run_id, cell_id, cluster_id from membership join top using (run_id, lvl) join actual using (run_id)),
+split as (select run_id from held group by 1 having min(cluster_id) < max(cluster_id)),
+lab as (select project, run_id, cell_id, min(cluster_id) as l from held semi join split using (run_id) where cluster_id is not null and cell_id is not null group by 1, 2, 3),
+alike as (select a.project, a.cell_id as a, b.cell_id as b from lab a join lab b using (project, run_id) group by 1, 2, 3 having 100 * count(*) filter (where a.l = b.l) >= 60 * count(*)),
+reach as (select project, a, b from alike union select r.project, r.a, e.b from reach r join alike e on r.project = e.project and r.b = e.a),
+grp as (select project, b as cell_id, min(a) as lead from reach group by 1, 2)
+"""
+P5_FOUND_SQL = P5_SQL + "select lead as cell_a, cell_id as cell_b from grp where lead <> cell_id"
+P5_GROUPS_SQL = P5_SQL + """,
+sized as (select project, lead, count(*) as n_cells from grp group by 1, 2 having count(*) > 1),
+own as (select project, lead, n_cells, cell_id, run_id, l from grp join sized using (project, lead) join lab using (project, cell_id)),
+same as (select *, count(*) over (partition by project, lead, run_id, l) as s, count(*) over (partition by project, lead, run_id) as e from own),
+rated as (select project, lead, n_cells, cell_id, sum(s) / sum(e) as likeness from same group by 1, 2, 3, 4),
+placed as (select *, row_number() over (partition by project, lead order by likeness desc, cell_id)::int as place from rated)
+select project, lead as group_cell, n_cells, place, cell_id, round(likeness, 6) as likeness from placed where place <= 3"""
+
+
 def p6_containers(spark: SparkSession, d: str, vocabulary: str = "/opt/tokenizers/byte_bpe_50k.json") -> DataFrame:
     """Every post, or piece of one, with its tokens and its container of 2,048 tokens."""
     sizes = packing.token_counts(table(spark, d, "documents"), vocabulary)
@@ -294,5 +313,7 @@ ORACLES = {
     "p4_found": P4_FOUND_SQL,
     "p4_percentiles": P4_PERCENTILES_SQL,
     "p4_bounds": P4_BOUNDS_SQL,
+    "p5_found": P5_FOUND_SQL,
+    "p5_groups": P5_GROUPS_SQL,
     "p6_invariants": P6_INVARIANTS_SQL,
 }
