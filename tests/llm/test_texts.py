@@ -146,6 +146,26 @@ def test_stuffed_pages(spark):
     assert spam.stuffed(df.limit(0)).count() == 0
 
 
+def test_the_model_decides(spark, monkeypatch):
+    mixed = "the and pump lab of was a quickly group student we plan as office after meeting nobody checked index close folder final soon is in branch the replaced our from to quiet. "
+    rows = [(1, LIST, 0), (2, mixed * 3, 0)] + [(100 + i, PROSE * (i % 5 + 1), 0) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, mix int")
+    found = {r.doc_id: r for r in spam.scored(df).collect()}
+    assert found[1].odd == found[2].odd == 1 and found[101].odd < 0.5 and found[101].normal
+    assert not found[1].normal and found[2].normal  # words in disorder are not keywords
+    assert {r.doc_id for r in spam.stuffed(df).collect()} == {1}
+    lists = spam.symbols(LIST)
+    likes_lists = {"".join(lists[max(0, i - n) : i]) or "w": 50 for i in range(1, len(lists) + 1) for n in range(1, 6)}
+    monkeypatch.setattr(spam, "prose_model", lambda own: likes_lists | {"^^^^w": 50, "^^^ww": 50, "^^www": 50, "^www,": 50})
+    assert spam.stuffed(df).where("doc_id = 1").count() == 0
+
+
+def test_n_grams_seen_once_count(spark):
+    df = spark.createDataFrame([("The pump of the lab was replaced by 7 students.",)], "own string")
+    counts = spam.prose_model(df)
+    assert counts["D"] == 2 and counts["DwPDw"] == 1 and counts["VwP0w"] == 1
+
+
 def test_own_text_of_nested_quotes():
     text = "On 2020-01-01, x wrote:\n> a\n>> b\n| c\nmine &amp; [quote=y]q [quote=z]r[/quote] s[/quote] too\n--\nsig"
     assert spam.own_text(text).split() == ["mine", "&", "too"]

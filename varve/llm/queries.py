@@ -278,7 +278,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 def p8_scores(spark: SparkSession, d: str) -> DataFrame:
     """Every post with own words, its perplexity under the prose model and its entries."""
     found = spam.scored(table(spark, d, "documents"))
-    return found.select("doc_id", F.round("perplexity", 4).alias("perplexity"), F.round("odd", 6).alias("odd_share"), "entries", F.col("inside").alias("entry_words"), F.col("total").alias("own_words"))
+    return found.select("doc_id", F.round("perplexity", 4).alias("perplexity"), F.round("odd", 6).alias("odd_share"), F.round("mix", 4).alias("class_perplexity"), F.col("normal").alias("prose_mix"), "entries", F.col("inside").alias("entry_words"), F.col("total").alias("own_words"))
 
 
 QUERIES = {
