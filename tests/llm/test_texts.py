@@ -147,6 +147,7 @@ def test_stuffed_pages(spark):
 
 
 def test_the_model_decides(spark, monkeypatch):
+    rng = np.random.default_rng(5)
     mixed = "the and pump lab of was a quickly group student we plan as office after meeting nobody checked index close folder final soon is in branch the replaced our from to quiet. "
     rows = [(1, LIST, 0), (2, mixed * 3, 0)] + [(100 + i, PROSE * (i % 5 + 1), 0) for i in range(60)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, mix int")
@@ -154,9 +155,10 @@ def test_the_model_decides(spark, monkeypatch):
     assert found[1].odd == found[2].odd == 1 and found[101].odd < 0.5 and found[101].normal
     assert not found[1].normal and found[2].normal  # words in disorder are not keywords
     assert {r.doc_id for r in spam.stuffed(df).collect()} == {1}
-    lists = spam.symbols(LIST)
-    likes_lists = {"".join(lists[max(0, i - n) : i]) or "w": 50 for i in range(1, len(lists) + 1) for n in range(1, 6)}
-    monkeypatch.setattr(spam, "prose_model", lambda own: likes_lists | {"^^^^w": 50, "^^^ww": 50, "^^www": 50, "^www,": 50})
+    lists = [(300 + i, ", ".join(" ".join(["boots"] * int(n)) for n in rng.integers(1, 5, 6 + i % 5)), 0) for i in range(60)]
+    df = spark.createDataFrame(rows + lists, "doc_id bigint, text string, mix int")
+    assert {1} | {d for d, *_ in lists} <= {r.doc_id for r in spam.stuffed(df).collect()} | {d for d, t, _ in lists if t.count(",") < 5}
+    monkeypatch.setattr(spam, "_prose", spam.symbols)  # a model that has learnt lists takes them for normal
     assert spam.stuffed(df).where("doc_id = 1").count() == 0
 
 
