@@ -38,6 +38,20 @@ def test_top_n_counts_newest_versions_only(spark):
     assert [(r.g, r.id) for r in got] == [("a", 3), ("a", 2)]
 
 
+def test_row_groups_below_the_floor_are_skipped(spark):
+    rows = spark.range(40000).select(F.when(F.col("id") % 4 > 0, "hot").otherwise(F.concat(F.lit("g"), (F.col("id") % 40).cast("string"))).alias("g"), F.lit(1).alias("h"), F.col("id").cast("int").alias("id"), (F.col("id") * 7919 % 40009).cast("double").alias("s"))
+    layout = topn.build(rows, ["g", "h"], "s", [F.col("id")], keep=["id"], row_group_rows=500)
+    best = sorted(((i * 7919 % 40009, i) for i in range(40000) if i % 4), reverse=True)
+    for n in (3, 20):
+        found, told = topn.top(spark, layout, n)
+        assert [r.id for r in found.where("g = 'hot'").orderBy("place").collect()] == [i for _, i in best[:n]]
+        assert found.count() == 11 * n and told["read"] < told["row_groups"] / 2
+    asked = spark.createDataFrame([("hot", 1), ("none", 1)], "g string, h int")
+    found, fewer = topn.top(spark, layout, 20, asked)
+    assert found.count() == 20 and fewer["read"] <= told["read"]
+    assert topn.top(spark, layout, 20, asked.limit(0))[0].count() == 0
+
+
 def test_top_n_of_nothing(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert _top(empty).count() == 0 and _top(empty, version=(["id"], "at")).count() == 0

@@ -1,7 +1,8 @@
 """Problem 1: the N best rows of every group, by statistics-guided skipping.
 
-The rows are written once, clustered by group and, within a file, by falling score. Each row group's
-footer then bounds the scores in it. Row groups are read in rounds, for every group those of highest
+`build` writes the rows once, clustered by group and, within a file, by falling score, with a table of what each row
+group's footer says of it; `top` answers queries from that layout, for all groups or some, and any n, as often as
+asked. Row groups are read in rounds, for every group those of highest
 maximum first; after each round, a row group is skipped for good if its maximum lies strictly below
 the N-th score its group has by then. A row group that touches several groups holds the head of at
 least one of them, so those are read in the first round.
@@ -14,6 +15,7 @@ file hands on at most N rows of a group for each row group that is read.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -23,7 +25,7 @@ from pyspark.sql import types as T
 from varve.session import Scratch, open_parquet
 
 ROW_GROUP_ROWS = 20_000
-FIRST_WIDTH = 8
+FIRST_WIDTH = 1
 
 
 def _zones(spark: SparkSession, path: str, group: Sequence[str], score: str, types: dict[str, T.DataType]) -> DataFrame:
@@ -78,26 +80,32 @@ def _heads(zones: DataFrame, group: Sequence[str], n: int, schema: T.StructType,
     return zones.select("_path", "_part").repartition(tasks, "_path", "_part").mapInArrow(read, schema)
 
 
-def top_n(
+@dataclass(frozen=True)
+class Layout:
+    """Rows written by group and falling score: their folder, the table of their row groups, and what they are sorted by."""
+
+    path: str
+    schema: T.StructType
+    group: Sequence[str]
+    score: str
+    best: Sequence[Column]
+
+    def zones(self, spark: SparkSession) -> DataFrame:
+        return spark.read.parquet(f"{self.path}/zones")
+
+
+def build(
     df: DataFrame,
     group: Sequence[str],
     score: str,
     ties: Sequence[Column],
-    n: int,
     *,
     keep: Sequence[str] = (),
     version: tuple[Sequence[str], str] | None = None,
     row_group_rows: int = ROW_GROUP_ROWS,
-) -> DataFrame:
-    """The n rows of highest `score` of every group, with their `place` (1 to n).
-
-    ties: order expressions that settle equal scores; rows equal in all of them are settled by `keep`, in order.
-    keep: further columns of the result. Other columns of df are not read.
-    version: (identity, latest): of rows that agree in the group and these identity columns only the one
-      with the greatest `latest` counts, and only afterwards are unusable scores left out.
-    Rows whose score is null, NaN or infinite take no part. A null in a group column is a value of its
-    own. Groups with fewer rows give all of them; an empty table gives no rows.
-    """
+    path: str | None = None,
+) -> Layout:
+    """The layout of df's rows with a finite score, in the given folder (by default one in the shared folder); see `top_n`."""
     if not group:
         raise ValueError("top_n needs at least one group column")
     spark = df.sparkSession
@@ -113,34 +121,60 @@ def top_n(
     best = [F.col(score).desc(), *ties, *(F.col(c) for c in (*identity, *keep))]
     if not version:
         usable = usable.repartitionByRange(*group, *best)
-    scratch = Scratch(spark, "topn")
-    layout = scratch.write(
-        usable.sortWithinPartitions(*group, *best), "rows",
-        **{"parquet.block.row.count.limit": str(row_group_rows), "parquet.page.row.count.limit": "5000"},
-    )
-    schema = usable.schema
-    types = {f.name: f.dataType for f in schema.fields}
+    folder = path or Scratch(spark, "topn").path("layout")
+    limits = {"parquet.block.row.count.limit": str(row_group_rows), "parquet.page.row.count.limit": "5000"}
+    usable.sortWithinPartitions(*group, *best).write.options(**limits).parquet(f"{folder}/rows")
+    types = {f.name: f.dataType for f in usable.schema.fields}
     falling = Window.partitionBy(F.when(~F.col("_one"), F.col("_path")), *group).orderBy(F.desc("_top"), "_path", "_part")
     turn = F.when(F.col("_one"), F.row_number().over(falling)).otherwise(0)
-    zones = scratch.save(_zones(spark, layout, group, score, types).withColumn("_turn", turn), "zones")
-    tasks = max(spark.sparkContext.defaultParallelism * 2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    places = Window.partitionBy(*group).orderBy(*best)
+    _zones(spark, f"{folder}/rows", group, score, types).withColumn("_turn", turn).write.parquet(f"{folder}/zones")
+    return Layout(folder, usable.schema, list(group), score, best)
 
-    def ranked(found: DataFrame) -> DataFrame:
-        return found.withColumn("place", F.row_number().over(places)).where(F.col("place") <= n)
 
-    done, width = 0, FIRST_WIDTH
-    due = zones.where(F.col("_turn") <= width)
-    result = None
+def top(spark: SparkSession, layout: Layout, n: int, groups: DataFrame | None = None) -> tuple[DataFrame, dict[str, int]]:
+    """The n rows of highest score of every group, with their `place`, and the numbers of rounds, row groups, and those read.
+
+    groups: (group columns) of the groups asked for, by default all; row groups of others are not read.
+    """
+    scratch, group = Scratch(spark, "top"), layout.group
+    zones, named = layout.zones(spark), [F.col(g).alias(f"_{g}") for g in group]
+    count = zones.count()
+    same = [F.col(g).eqNullSafe(F.col(f"_{g}")) for g in group]
+    asked = scratch.save(groups.select(*named).distinct(), "asked") if groups is not None else None
+    if asked is not None:
+        zones = zones.where(~F.col("_one")).unionByName(zones.where("_one").join(asked, same, "left_semi"))
+    tasks = max(spark.sparkContext.defaultParallelism * 2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    places = Window.partitionBy(*group).orderBy(*layout.best)
+    width, rounds, read, result = FIRST_WIDTH, 0, 0, None
+    due = scratch.save(zones.where(F.col("_turn") <= width), "due")
     while True:
-        found = _heads(due, group, n, schema, tasks)
-        result = scratch.save(ranked(found if result is None else result.drop("place").unionByName(found)), "best")
-        done = width
-        floor = result.groupBy(*[F.col(g).alias(f"_{g}") for g in group]).agg(F.min(score).alias("_floor"), F.count("*").alias("_have"))
-        left = zones.where(F.col("_turn") > done)
-        same = [F.col(g).eqNullSafe(F.col(f"_{g}")) for g in group]
-        left = left.join(floor.where(F.col("_have") >= n), same, "left").where(F.col("_floor").isNull() | (F.col("_top") >= F.col("_floor")))
+        found = _heads(due, group, n, layout.schema, tasks)
+        if asked is not None:
+            found = found.join(asked, same, "left_semi")
+        every = found if result is None else result.drop("place").unionByName(found)
+        result = scratch.renew(every.withColumn("place", F.row_number().over(places)).where(F.col("place") <= n), "best")
+        rounds, read = rounds + 1, read + due.count()
+        floor = result.groupBy(*named).agg(F.min(layout.score).alias("_floor"), F.count("*").alias("_have"))
+        left = zones.where(F.col("_turn") > width).join(floor.where(F.col("_have") >= n), same, "left")
+        left = scratch.renew(left.where(F.col("_floor").isNull() | (F.col("_top") >= F.col("_floor"))).select("_path", "_part", "_turn"), "left")
         if left.isEmpty():
-            return result
-        width *= 4
-        due = left.where(F.col("_turn") <= width)
+            return result, {"rounds": rounds, "row_groups": count, "read": read}
+        done, width = width, width * 4
+        due = scratch.renew(left.where(F.col("_turn").between(done + 1, width)), "due")
+
+
+def top_n(df: DataFrame, group: Sequence[str], score: str, ties: Sequence[Column], n: int, **how) -> DataFrame:
+    """The n rows of highest `score` of every group, with their `place` (1 to n): `build` and `top` in one.
+
+    ties: order expressions that settle equal scores; rows equal in all of them are settled by `keep`, in order.
+    keep: further columns of the result. Other columns of df are not read.
+    version: (identity, latest): of rows that agree in the group and these identity columns only the one
+      with the greatest `latest` counts, and only afterwards are unusable scores left out.
+    Rows whose score is null, NaN or infinite take no part. A null in a group column is a value of its
+    own. Groups with fewer rows give all of them; an empty table gives no rows.
+    """
+    scratch = Scratch(df.sparkSession, "topn")
+    layout = build(df, group, score, ties, path=scratch.path("layout"), **how)
+    found, _ = top(df.sparkSession, layout, n)
+    scratch.drop(layout.path)
+    return found
