@@ -94,6 +94,25 @@ def test_controlled_score_excludes_own_genes(spark):
     assert np.allclose(got, x[:, [0, 1]].mean(1) - x[:, sorted(back)].mean(1))
 
 
+@pytest.mark.parametrize("kind", ["spread", "tied", "few"])
+def test_similar_genes_match_brute_force(spark, kind):
+    rng = np.random.default_rng(13)
+    n = 4 if kind == "few" else 300
+    f = np.round(rng.lognormal(0, 1.5, (n, 2)), 1) if kind == "tied" else rng.lognormal(0, 1.5, (n, 2))
+    if kind == "tied":
+        f[20:200] = f[0]
+    features = spark.createDataFrame([(i, float(m), float(v)) for i, (m, v) in enumerate(f)] + [(9000, float("nan"), 0.0), (9001, None, 0.0)], "gene_id int, m double, v double")
+    asked = spark.createDataFrame([(i,) for i in [*range(0, n, 3), 8000]], "gene_id int")
+    got = {}
+    for r in expression.similar_genes(features, asked, 6).collect():
+        got.setdefault(r.gene_id, {})[r["rank"]] = r.other
+    for i in range(0, n, 3):
+        d = (f[:, 0] - f[i, 0]) ** 2 + (f[:, 1] - f[i, 1]) ** 2
+        want = [int(j) for j in np.lexsort((np.arange(n), d)) if j != i][:6]
+        assert [got[i][p + 1] for p in range(len(want))] == want
+    assert expression.similar_genes(features.limit(0), asked, 6).count() == 0
+
+
 def test_regression_matches_least_squares(spark):
     rng = np.random.default_rng(1)
     c = rng.normal(size=(20, 2))
@@ -296,6 +315,15 @@ def test_matrix_readers(spark, tmp_path):
     counts, genes, cells = matrices.read_matrix_market(spark, str(tmp_path), "d")
     assert {(r.cell_id, r.gene_id, r["count"]) for r in counts.collect()} == {(1, 1, 5.0), (2, 3, 8.0)}
     assert {r.gene_id: r.symbol for r in genes.collect()} == {1: "A", 2: "B", 3: "C"} and cells.count() == 2
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64")  # many blocks, and entries like the size line
+    try:
+        (tmp_path / "matrix.mtx").write_text("%%MatrixMarket matrix coordinate integer general\n%c\n30 2 30\n" + "".join(f"{i} 2 {i}\n" for i in range(1, 31)))
+        (tmp_path / "barcodes.tsv").write_text("".join(f"cell{i}-1\n" for i in range(50)))
+        counts, _, cells = matrices.read_matrix_market(spark, str(tmp_path), "d")
+        assert {(r.gene_id, r["count"]) for r in counts.collect()} == {(i, float(i)) for i in range(1, 31)}
+        assert {r.cell_id: r.barcode for r in cells.collect()} == {i + 1: f"cell{i}-1" for i in range(50)}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
     (tmp_path / "dense.txt").write_text("c1 c1 c2\nG1 0 2 0\nG2 1.5 0 3\n")
     counts, genes, cells = matrices.read_text_matrix(spark, str(tmp_path / "dense.txt"), "d")
     assert {(r.cell_id, r.gene_id, r["count"]) for r in counts.collect()} == {(2, 1, 2.0), (1, 2, 1.5), (3, 2, 3.0)}

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from varve.session import Scratch
+
 
 def normalise(counts: DataFrame, scale: float = 1e4) -> DataFrame:
     """counts with norm = ln(scale x count / all of its cell's counts + 1) (M0); it comes before any gene filter."""
@@ -63,28 +65,63 @@ def technical_features(normalised: DataFrame, cells: DataFrame) -> DataFrame:
     return stats.join(F.broadcast(ends)).select("gene_id", z("mean", "_a", "_b").alias("m"), z("var", "_c", "_d").alias("v"))
 
 
+GRID = 12
+
+
 def similar_genes(features: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     """(gene_id, rank, other): the k genes nearest in (m, v) to each asked gene, itself left out by id.
 
-    The asked genes are a signature, a stated query set; distances are squared, ties go to smaller ids.
+    Distances are squared, ties go to smaller ids; null and NaN features are left out. Genes lie in square cells of GRID
+    sizes, each twice the one before. For an asked gene the counts of the cells tell the smallest size at which the three by three
+    around it hold k others; those are nearer than its side times the root of 8, so the three by three of four times that size hold
+    the k nearest, and only these are compared. Of genes with equal features the k + 1 smallest ids stand for all.
     """
-    query = features.join(asked.select("gene_id").distinct(), "gene_id", "left_semi").select(F.col("gene_id").alias("_g"), F.col("m").alias("_m"), F.col("v").alias("_v"))
+    scratch = Scratch(features.sparkSession, "similar")
+    usable = features.where(~F.isnan("m") & ~F.isnan("v")).select("gene_id", "m", "v")
+    same = F.row_number().over(Window.partitionBy("m", "v").orderBy("gene_id"))
+    points = scratch.save(usable.withColumn("_n", same).where(F.col("_n") <= k + 1).drop("_n"), "points")
+    ends = points.agg(F.min("m").alias("_m0"), F.min("v").alias("_v0"), F.greatest(F.max("m") - F.min("m"), F.max("v") - F.min("v")).alias("_w"))
+    # the largest cell holds every point; a spread of 0 is one cell of any size
+    side = lambda level: F.when(F.col("_w") > 0, F.col("_w") * 1.000001).otherwise(1.0) / F.pow(F.lit(2.0), F.lit(GRID) - level)
+    cell = lambda c, level: F.floor((F.col(c) - F.col(f"_{c}0")) / side(level))
+    placed = points.join(F.broadcast(ends))
+    levels = F.transform(F.sequence(F.lit(0), F.lit(GRID)), lambda level: F.struct(level.alias("level"), cell("m", level).alias("x"), cell("v", level).alias("y")))
+    counts = placed.select(F.explode(levels).alias("c")).groupBy("c.level", "c.x", "c.y").agg(F.count("*").alias("n"))
+    # the asked genes count themselves, hence more than k; a gene that only stands for others is asked with its own features
+    query = scratch.save(usable.join(asked.select("gene_id").distinct(), "gene_id", "left_semi").join(F.broadcast(ends)), "asked")
+    near = lambda c: F.array(*(F.struct((c.x + i).alias("x"), (c.y + j).alias("y")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
+    around = query.select("gene_id", F.explode(levels).alias("c")).select("gene_id", "c.level", F.explode(near(F.col("c"))).alias("b"))
+    held = around.select("gene_id", "level", "b.x", "b.y").join(counts, ["level", "x", "y"]).groupBy("gene_id", "level").agg(F.sum("n").alias("n"))
+    first = held.where(F.col("n") > k).groupBy("gene_id").agg(F.min("level").alias("level"))
+    level = F.least(F.lit(GRID), F.coalesce("level", F.lit(GRID)) + 2)
+    wide = scratch.save(query.join(first, "gene_id", "left").withColumn("level", level), "wide")
+    far = wide.select(F.col("gene_id").alias("_g"), F.col("m").alias("_m"), F.col("v").alias("_v"), "level", F.explode(near(F.struct(cell("m", F.col("level")).alias("x"), cell("v", F.col("level")).alias("y")))).alias("b"))
+    used = F.broadcast(wide.select("level").distinct())
+    there = placed.select("gene_id", "m", "v", F.explode(levels).alias("c")).select("gene_id", "m", "v", "c.level", "c.x", "c.y").join(used, "level", "left_semi")
+    pairs = far.select("_g", "_m", "_v", "level", "b.x", "b.y").join(there, ["level", "x", "y"]).where("gene_id <> _g")
     gap = (F.col("m") - F.col("_m")) * (F.col("m") - F.col("_m")) + (F.col("v") - F.col("_v")) * (F.col("v") - F.col("_v"))
-    pairs = features.join(query, F.col("gene_id") != F.col("_g")).withColumn("_d", gap)
-    rank = F.row_number().over(Window.partitionBy("_g").orderBy("_d", "gene_id"))
+    rank = F.row_number().over(Window.partitionBy("_g").orderBy(gap, "gene_id"))
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("_g").alias("gene_id"), "rank", F.col("gene_id").alias("other"))
 
 
 def controlled_score(normalised: DataFrame, cells: DataFrame, signature: DataFrame, k: int = 10) -> DataFrame:
     """(cell_id, score): mean norm of the signature less that of its background, the union of each gene's k technically
-    nearest genes without the signature's own (M3). k = 0 gives the plain mean."""
-    front = signature_mean(normalised, cells, signature)
+    nearest genes without the signature's own (M3). k = 0 gives the plain mean; without a signature or a background the score is null.
+
+    Signature and background are scored in one pass over the values.
+    """
     if not k:
-        return front
-    back = similar_genes(technical_features(normalised, cells), signature, k).select(F.col("other").alias("gene_id")).distinct()
-    back = back.join(signature.select("gene_id"), "gene_id", "left_anti")
-    rest = signature_mean(normalised, cells, back).withColumnRenamed("score", "_b")
-    return front.join(rest, "cell_id").select("cell_id", (F.col("score") - F.col("_b")).alias("score"))
+        return signature_mean(normalised, cells, signature)
+    scratch = Scratch(normalised.sparkSession, "score")
+    own = signature.select("gene_id").distinct()
+    features = scratch.save(technical_features(normalised, cells), "features")
+    back = similar_genes(features, own, k).select(F.col("other").alias("gene_id")).distinct().join(own, "gene_id", "left_anti")
+    sides = scratch.save(own.withColumn("_front", F.lit(True)).unionByName(back.withColumn("_front", F.lit(False))), "sides")
+    mean = lambda front: F.sum(F.when(F.col("_front") == front, F.col("norm")))
+    sums = normalised.join(sides, "gene_id").groupBy("cell_id").agg(mean(True).alias("_f"), mean(False).alias("_b"))
+    sizes = sides.agg(F.count_if("_front").alias("_nf"), F.count_if(~F.col("_front")).alias("_nb"))
+    share = lambda s, n: F.try_divide(F.coalesce(s, F.lit(0.0)), F.col(n))
+    return cells.select("cell_id").join(sums, "cell_id", "left").join(F.broadcast(sizes)).select("cell_id", (share("_f", "_nf") - share("_b", "_nb")).alias("score"))
 
 
 def gene_set_score(normalised: DataFrame, cells: DataFrame, genes: DataFrame, pattern: str, *, control: bool, k: int = 10) -> DataFrame:

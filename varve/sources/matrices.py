@@ -7,9 +7,17 @@ from pyspark.sql import functions as F
 
 
 def _numbered(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """(at, name): a file's lines numbered from 1 in file order. Ids follow the order, so it is read as one ordered RDD."""
-    lines = spark.sparkContext.textFile(path).zipWithIndex().map(lambda x: (x[1] + 1, x[0]))
-    return spark.createDataFrame(lines, f"at bigint, {name} string")
+    """(at, name): a file's lines numbered from 1 in file order.
+
+    A partition's lines are consecutive; its number of lines and those of the partitions before it give the places.
+    """
+    lines = spark.read.text(path).select(F.col("value").alias(name), F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_id"))
+    # the parts of a file come in no given order, their offsets in the file do
+    lines = lines.withColumns({"_file": F.col("_metadata.file_path"), "_from": F.col("_metadata.file_block_start")})
+    parts = lines.groupBy("_file", "_from", "_part").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
+    before = F.sum("_n").over(Window.orderBy("_file", "_from").rowsBetween(Window.unboundedPreceding, -1))
+    starts = parts.withColumn("_before", F.coalesce(before, F.lit(0)))
+    return lines.join(F.broadcast(starts.select("_file", "_from", "_first", "_before")), ["_file", "_from"]).select((F.col("_before") + F.col("_id") - F.col("_first") + 1).alias("at"), name)
 
 
 def read_matrix_market(spark: SparkSession, folder: str, dataset: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -21,8 +29,10 @@ def read_matrix_market(spark: SparkSession, folder: str, dataset: str) -> tuple[
     cells = _numbered(spark, f"{folder}/barcodes.tsv", "line").select(F.col("at").alias("cell_id"), F.trim(F.element_at(F.split("line", "\t"), 1)).alias("barcode"), F.lit(dataset).alias("dataset"))
     fields = F.split("line", "\t")
     genes = _numbered(spark, f"{folder}/genes.tsv", "line").select(F.col("at").cast("int").alias("gene_id"), F.trim(F.element_at(fields, 2)).alias("symbol"))
-    body = spark.sparkContext.textFile(f"{folder}/matrix.mtx").filter(lambda x: not x.startswith("%")).zipWithIndex().filter(lambda x: x[1] > 0).map(lambda x: (x[0],))
-    triples = spark.createDataFrame(body, "value string").select(parts[0].cast("int").alias("gene_id"), parts[1].cast("bigint").alias("cell_id"), parts[2].cast("double").alias("count"))
+    lines = spark.read.text(f"{folder}/matrix.mtx").select("value", F.col("_metadata.file_block_start").alias("_from"), F.monotonically_increasing_id().alias("_id"))
+    lines = lines.where(~F.col("value").startswith("%") & (F.trim("value") != ""))
+    size = lines.where("_from = 0").first()  # the first line that is no comment tells the size, and may look like an entry
+    triples = lines.where((F.col("_from") != 0) | (F.col("_id") != (size["_id"] if size else -1))).select(parts[0].cast("int").alias("gene_id"), parts[1].cast("bigint").alias("cell_id"), parts[2].cast("double").alias("count"))
     counts = triples.groupBy("cell_id", "gene_id").agg(F.sum("count").alias("count")).where("count <> 0").withColumn("dataset", F.lit(dataset))
     return counts, genes, cells
 
