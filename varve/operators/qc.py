@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from varve.operators.order_statistics import percentiles
+from varve.session import Scratch
+
 RIBOSOMAL = "(?i)^rp[ls]"
 MITOCHONDRIAL = "(?i)^mt-"
 
@@ -37,19 +40,21 @@ def cell_metrics(counts: DataFrame, cells: DataFrame, sets: dict[str, DataFrame]
 
 
 def quantile_table(df: DataFrame, keys: Sequence[str], column: str, probs: Sequence[float]) -> DataFrame:
-    """(keys, p, value): exact quantiles, linear between order statistics (A4)."""
-    found = df.where(F.col(column).isNotNull()).groupBy(*keys).agg(F.percentile(column, F.array(*(F.lit(p) for p in probs))).alias("q"))
-    pairs = F.arrays_zip(F.array(*(F.lit(p) for p in probs)).alias("p"), F.col("q").alias("value"))
-    return found.select(*keys, F.explode(pairs).alias("x")).select(*keys, "x.p", "x.value")
+    """(keys, p, value): exact quantiles, linear between order statistics (A4). Nulls and NaN do not count."""
+    return percentiles(df, keys, column, probs).drop("n")
 
 
 def passing(metrics: DataFrame, *, min_genes: int = 500, genes_quantile: float = 0.98, umis_quantile: float = 0.98, max_mito: float = 0.1, max_ribo: float | None = None, marker: Column | None = None) -> DataFrame:
     """metrics with `passed` (F3). Quantile cut-offs are those of a dataset's cells before the filter.
 
-    metrics: (dataset, numi, ngenes, mito_frac[, ribo_frac]). Bounds are inclusive. A cell with a null among the
+    metrics: (cell_id, dataset, numi, ngenes, mito_frac[, ribo_frac]). Bounds are inclusive. A cell with a null among the
     values a bound needs fails it.
     """
-    cuts = metrics.groupBy("dataset").agg(F.percentile("ngenes", genes_quantile).alias("_g"), F.percentile("numi", umis_quantile).alias("_u"))
+    metrics = Scratch(metrics.sparkSession, "passing").save(metrics, "metrics")
+    every = metrics.select("dataset", "cell_id", F.explode(F.array(*(F.struct(F.lit(c).alias("f"), F.col(c).cast("double").alias("x")) for c in ("ngenes", "numi")))).alias("e")).select("dataset", "cell_id", "e.f", "e.x")
+    found = percentiles(every, ["dataset", "f"], "x", [genes_quantile, umis_quantile])
+    at = lambda f, p: F.max(F.when((F.col("f") == f) & (F.col("p") == p), F.col("value")))
+    cuts = found.groupBy("dataset").agg(at("ngenes", genes_quantile).alias("_g"), at("numi", umis_quantile).alias("_u"))
     fine = (F.col("ngenes") >= min_genes) & (F.col("ngenes") <= F.col("_g")) & (F.col("numi") <= F.col("_u"))
     if "mito_frac" in metrics.columns:
         fine &= F.col("mito_frac") <= max_mito
@@ -57,7 +62,7 @@ def passing(metrics: DataFrame, *, min_genes: int = 500, genes_quantile: float =
         fine &= F.col("ribo_frac") <= max_ribo
     if marker is not None:
         fine &= marker
-    joined = metrics.join(cuts.withColumnRenamed("dataset", "_d"), F.col("dataset").eqNullSafe(F.col("_d")))
+    joined = metrics.join(cuts.withColumnRenamed("dataset", "_d"), F.col("dataset").eqNullSafe(F.col("_d")), "left")
     return joined.withColumn("passed", F.coalesce(fine, F.lit(False))).drop("_g", "_u", "_d")
 
 
@@ -80,8 +85,8 @@ def prefilter(counts: DataFrame, min_genes: int) -> DataFrame:
 
 
 def subsample(cells: DataFrame, m: int, seed: int = 0) -> DataFrame:
-    """Exactly m cells (all if fewer), the same on every run (F2)."""
-    return cells.orderBy(F.xxhash64(F.lit(seed), "cell_id"), "cell_id").limit(m)
+    """Exactly m cells (all if fewer), the same on every run: those whose id and seed have the smallest digests (F2)."""
+    return cells.orderBy(F.md5(F.concat_ws("-", F.lit(seed).cast("string"), F.col("cell_id").cast("string"))), "cell_id").limit(m)
 
 
 def gene_counts(counts: DataFrame, genes: DataFrame) -> DataFrame:

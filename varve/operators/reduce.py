@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from varve.operators.order_statistics import percentiles, wide
+from varve.session import Scratch
+
 
 def by_group(values: DataFrame, keys: Sequence[str], value: str, *reducers: Column) -> DataFrame:
     """A chain of aggregates of a value by group (A5, E2); without reducers its mean."""
@@ -47,18 +50,18 @@ def contingency(df: DataFrame, a: str, b: str) -> DataFrame:
 
 def quartiles(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """(keys, n, q25, q50, q75) of the values that are neither null nor NaN (V2, V6)."""
-    fine = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
-    found = fine.groupBy(*keys).agg(F.count("*").alias("n"), F.percentile(value, F.array(*map(F.lit, (0.25, 0.5, 0.75)))).alias("q"))
-    return found.select(*keys, "n", *(F.col("q")[i].alias(c) for i, c in enumerate(("q25", "q50", "q75"))))
+    return wide(percentiles(df, keys, value, (0.25, 0.5, 0.75)), keys, q25=0.25, q50=0.5, q75=0.75)
 
 
 def activation(normalised: DataFrame, cells: DataFrame, genes: DataFrame, quantile: float = 0.9) -> DataFrame:
     """(cell_id, z) of the cells whose signature mean, as a z-score, is above its quantile (V8)."""
     from varve.operators.expression import signature_mean
 
-    scores = signature_mean(normalised, cells, genes)
-    ends = scores.agg(F.avg("score").alias("_m"), F.stddev_samp("score").alias("_sd"), F.percentile("score", quantile).alias("_q"))
-    return scores.join(F.broadcast(ends)).where(F.col("score") > F.col("_q")).select("cell_id", F.try_divide(F.col("score") - F.col("_m"), F.col("_sd")).alias("z"))
+    scores = Scratch(normalised.sparkSession, "activation").save(signature_mean(normalised, cells, genes), "scores")
+    ends = scores.agg(F.avg("score").alias("_m"), F.stddev_samp("score").alias("_sd"))
+    cut = wide(percentiles(scores, [], "score", [quantile]), [], _q=quantile).drop("n")
+    joined = scores.join(F.broadcast(ends)).join(F.broadcast(cut))
+    return joined.where(F.col("score") > F.col("_q")).select("cell_id", F.try_divide(F.col("score") - F.col("_m"), F.col("_sd")).alias("z"))
 
 
 def pair_scatter(normalised: DataFrame, cells: DataFrame, one: int, two: int, seed: int | None = None) -> DataFrame:
