@@ -416,3 +416,89 @@ def test_tasks_get_the_package_from_spark(spark, tmp_path):
     entry._ship(spark)
     entry._ship(spark)
     assert any("varve" in name for name in spark.sparkContext._python_includes)
+
+
+def test_from_variable_genes_to_clusters(spark):
+    from varve.operators import pipeline
+
+    rng = np.random.default_rng(14)
+    n, p = 90, 40
+    kind = np.arange(n) % 3
+    lift = np.zeros((3, p))
+    for k in range(3):
+        lift[k, k * 8 : k * 8 + 8] = 3
+    x = rng.poisson(np.exp(0.5 + lift[kind] * 0.6))
+    counts = spark.createDataFrame([(i, j, "d", float(x[i, j])) for i in range(n) for j in range(p) if x[i, j]], "cell_id bigint, gene_id int, dataset string, count double")
+    cells = spark.createDataFrame([(i, "d") for i in range(n)], "cell_id bigint, dataset string")
+    norm = expression.normalise(counts)
+    genes = expression.variable_genes(norm, cells, min_mean=0.05, min_z=-5)
+    features, loadings, test, chosen = pipeline.components(norm, cells, genes, max_pcs=12, reps=4)
+    value = {(r.cell_id, r.gene_id): r.norm for r in norm.collect()}
+    listed = sorted(r.gene_id for r in genes.collect())
+    assert all(v == [value.get((i, g), 0.0) for g in listed] for i, v in features.collect())
+    assert 2 <= chosen <= 5 and {r.gene_id for r in loadings.collect()} <= set(listed)
+    first = {r.gene_id for r in loadings.where("pc = 1 and abs(loading) > 0.2").collect()}
+    assert first and first <= set(range(24))
+    out = pipeline.cluster_cells(norm, cells, genes, ratios=(0.2, 0.3), shuffles=1, max_pcs=12, reps=4)
+    label = {r.cell_id: r.cluster for r in out["member"].collect()}
+    assert len(label) == n and all(len({int(kind[i]) for i in range(n) if label[i] == c}) == 1 for c in set(label.values()))
+    assert out["calibrated"].where("fold > 1").count() == 2 and out["runs"].where("kind = 'shuffled'").count() >= 2
+    with pytest.raises(ValueError):
+        pipeline.cluster_cells(norm, cells, genes, max_pcs=12, reps=2, threshold=-1.0)
+
+
+def test_cell_cycle_scores(spark):
+    rng = np.random.default_rng(15)
+    x = rng.poisson(1.0, (20, 140)).astype(float)
+    norm = spark.createDataFrame([(i, j, float(x[i, j])) for i in range(20) for j in range(140) if x[i, j]], "cell_id bigint, gene_id int, norm double")
+    cells = spark.createDataFrame([(i,) for i in range(20)], "cell_id bigint")
+    genes = spark.createDataFrame([(j, f"Gene{j}") for j in range(140)], "gene_id int, symbol string")
+    listed = spark.createDataFrame([(j + 1, f"GENE{j}") for j in range(99)] + [(5, "unknown")], "at int, symbol string")
+    f = np.stack([x.mean(0), x.var(0, ddof=1)], 1)
+    f = (f - f.mean(0)) / f.std(0, ddof=1)
+
+    def score(own):
+        back = set()
+        for g in own:
+            d = ((f - f[g]) ** 2).sum(1)
+            d[g] = np.inf
+            back |= set(np.lexsort((np.arange(140), d))[:3].tolist())
+        return x[:, own].mean(1) - x[:, sorted(back - set(own))].mean(1)
+
+    got = expression.cell_cycle_scores(norm, cells, genes, listed, 3).orderBy("cell_id").toPandas()
+    for column, own in (("s_stage", range(43)), ("g2m_stage", range(43, 98)), ("aggregate_s_g2m_stage", range(98))):
+        assert np.allclose(got[column], score(list(own)))
+
+
+def test_projects_are_found_named_and_filtered(spark, tmp_path):
+    from varve import model
+    from varve.operators import pipeline
+
+    counts = spark.createDataFrame([(1, 1, 2.0), (2, 1, 3.0), (3, 1, 2.0), (4, 1, 2.0), (4, 2, 1.0)], "cell_id bigint, gene_id int, count double")
+    tables = {
+        "counts": counts, "cells": spark.createDataFrame([(i,) for i in range(1, 5)], "cell_id bigint"), "genes": spark.createDataFrame([(1, True), (2, True), (3, False)], "gene_id int, keep boolean"),
+        "member": spark.createDataFrame([(1, 1), (2, 1), (3, 2), (4, 3)], "cell_id bigint, cluster int"), "hvg": spark.createDataFrame([(1,)], "gene_id int"), "tests": counts,
+    }
+    project = model.Project.create(spark, ["a"], str(tmp_path)).having(**tables)
+    model.save_project(project)
+    assert model.saved_projects(spark, str(tmp_path)) == {"a": sorted(tables)} and model.saved_projects(spark, str(tmp_path / "none")) == {}
+    assert set(model.load_project(spark, str(tmp_path), "a").tables) == set(tables)
+    named = model.save_names(project, spark.createDataFrame([(1, "T"), (2, "B")], "cluster int, name string"))
+    assert {r.name for r in model.load_names(project)["cluster_names"].collect()} == {r.name for r in named["cluster_names"].collect()} == {"T", "B"}
+    assert {r.name for r in model.remove_names(named)["cluster_names"].collect()} == {"1", "2", "3"}
+    left = pipeline.filter_project(project, spark.createDataFrame([(1,), (2,)], "cluster int"))
+    assert left["cells"].count() == 3 and left["counts"].count() == 3 and "hvg" not in left.tables and "tests" not in left.tables
+    assert {r.gene_id: r.keep for r in left["genes"].collect()} == {1: True, 2: False, 3: False}
+
+
+def test_complete_linkage_is_that_of_one_merge_at_a_time(spark):
+    rng = np.random.default_rng(16)
+    d = np.round(rng.random((14, 14)), 4)
+    d = (d + d.T) / 2
+    pairs = spark.createDataFrame([(f"c{i:02d}", f"c{j:02d}", float(d[i, j])) for i in range(14) for j in range(i + 1, 14)], "cluster1 string, cluster2 string, distance double")
+    groups = [{i} for i in range(14)]
+    while len(groups) > 5:
+        _, a, b = min((max(d[i, j] for i in g for j in h), x, y) for x, g in enumerate(groups) for y, h in enumerate(groups) if x < y)
+        groups[a] |= groups.pop(b)
+    got = {r.cluster: r.branch for r in similarity.complete_linkage(pairs, 5, F.col("distance")).collect()}
+    assert got == {f"c{i:02d}": f"c{min(g):02d}" for g in groups for i in g}

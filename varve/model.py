@@ -64,9 +64,39 @@ def save_project(project: Project) -> str:
     return folder
 
 
-def load_project(spark: SparkSession, path: str, name: str, tables: Sequence[str]) -> Project:
-    """A saved project with the named tables."""
-    return Project(spark, name, path, {t: spark.read.parquet(f"{path}/{name}/tables/{t}") for t in tables})
+def _folders(spark: SparkSession, path: str) -> list[str]:
+    """The names of the folders in a folder; none if it does not exist."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(f.getPath().getName() for f in system.listStatus(target) if f.isDirectory()) if system.exists(target) else []
+
+
+def saved_projects(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """The projects saved in a folder and the names of their tables."""
+    found = {name: _folders(spark, f"{path}/{name}/tables") for name in _folders(spark, path)}
+    return {name: tables for name, tables in found.items() if tables}
+
+
+def load_project(spark: SparkSession, path: str, name: str, tables: Sequence[str] | None = None) -> Project:
+    """A saved project with the named tables, by default all that are there."""
+    chosen = _folders(spark, f"{path}/{name}/tables") if tables is None else tables
+    return Project(spark, name, path, {t: spark.read.parquet(f"{path}/{name}/tables/{t}") for t in chosen})
+
+
+def save_names(project: Project, names: DataFrame) -> Project:
+    """The project with its clusters' names (cluster, name), which are kept in its folder."""
+    names.select("cluster", "name").write.mode("overwrite").parquet(f"{project.path}/{project.name}/tables/cluster_names")
+    return load_names(project)
+
+
+def load_names(project: Project) -> Project:
+    """The project with the names kept in its folder."""
+    return project.having(cluster_names=project.spark.read.parquet(f"{project.path}/{project.name}/tables/cluster_names"))
+
+
+def remove_names(project: Project) -> Project:
+    """The project with its clusters as their own names; those kept in its folder stay there."""
+    return project.having(cluster_names=project["member"].select("cluster").distinct().withColumn("name", F.col("cluster").cast("string")))
 
 
 def first_match(df: DataFrame, key: str, *order: Column | str) -> DataFrame:

@@ -101,15 +101,19 @@ def hyper_parameters(tests: DataFrame, keys: Sequence[str]) -> DataFrame:
     return moments.select(*keys, solve("_m", "_v", "_df").alias("h")).select(*keys, "h.d0", "h.s02")
 
 
-def moderated_t(tests: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """tests with t, p and q of the moderated test, adjusted within the keys (M16): the variance is shrunk to the prior's."""
+def moderated_t(tests: DataFrame, keys: Sequence[str], max_q: float | None = None) -> DataFrame:
+    """tests with t, p and q of the moderated test, adjusted within the keys (M16): the variance is shrunk to the prior's.
+
+    With max_q only the tests with a smaller q stay.
+    """
     prior = hyper_parameters(tests, keys)
     joined = tests.join(prior, list(keys), "left")
     free = F.isnan("d0") | (F.col("d0") == float("inf"))
     s2 = F.when(free, F.col("s02")).otherwise((F.col("d0") * F.col("s02") + F.col("df") * F.col("s2")) / (F.col("d0") + F.col("df")))
     scored = joined.withColumn("_s2", s2).withColumn("t", F.try_divide(F.col("logfc"), F.sqrt(F.col("_s2") * (1 / F.col("n1") + 1 / F.col("n2")))))
     scored = scored.withColumn("df_total", F.when(free, F.lit(1e7)).otherwise(F.col("d0") + F.col("df"))).withColumn("p", stats.t_two_sided("t", "df_total"))
-    return benjamini_hochberg(scored.drop("_s2", "d0", "s02"), keys, "p")
+    adjusted = benjamini_hochberg(scored.drop("_s2", "d0", "s02"), keys, "p")
+    return adjusted if max_q is None else adjusted.where(F.col("q") < max_q)
 
 
 def moderated_f(sums: DataFrame, sizes: DataFrame) -> DataFrame:
