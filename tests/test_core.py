@@ -126,7 +126,10 @@ def test_regression_matches_least_squares(spark):
     assert np.allclose(got, y - np.column_stack([np.ones(20), c]) @ want)
 
 
-def test_benjamini_hochberg(spark):
+@pytest.mark.parametrize("ties", [diffexp.TIES, 3])
+def test_benjamini_hochberg(spark, monkeypatch, ties):
+    monkeypatch.setattr(diffexp, "TIES", ties)
+    monkeypatch.setattr(diffexp, "TIED", 60)
     rng = np.random.default_rng(2)
     rows = [(None if i % 9 == 0 else "g" if i % 3 else "h", i, None if i == 5 else float("nan") if i == 6 else float(np.round(rng.random() ** 4, 3))) for i in range(200)]
     got = {r.id: r.q for r in diffexp.benjamini_hochberg(spark.createDataFrame(rows, "k string, id int, p double"), ["k"], "p").collect()}
@@ -300,6 +303,14 @@ def test_jaccard_of_tested_genes(spark, monkeypatch):
             assert r[column] == (round(len(a & b) / len(a | b), 5) if a | b else None)
 
 
+def test_similarity_without_variance_and_within_groups(spark):
+    rows = [("g", "a", 1, 1.0, 2.0, 0.01), ("g", "b", 1, 2.0, 3.0, None), ("g", "c", 2, 1.0, 1.0, 0.5), ("h", "a", 1, 1.0, 2.0, 0.01), (None, "b", 1, 1.0, 1.0, 0.1)]
+    features = spark.createDataFrame(rows, "k string, cluster string, gene_id int, fold double, mean double, q double")
+    one = similarity.cluster_similarity(features, within=["k"]).collect()
+    assert [(r.k, r.cluster1, r.cluster2, r.n_genes, r.similarity, r.jaccard, r.jaccard2) for r in one] == [("g", "a", "b", 1, None, 0.0, None)]
+    assert similarity.cluster_similarity(features.limit(0)).count() == 0
+
+
 def test_offsets_and_choice_of_ratio(spark):
     member = spark.createDataFrame([("a", 1, 1), ("a", 2, 3), ("b", 3, 1), ("c", 4, 2)], "dataset string, cell_id bigint, cluster int")
     assert {r.cell_id: r.merged for r in similarity.merge_clusters(member).collect()} == {1: 1, 2: 3, 3: 4, 4: 6}

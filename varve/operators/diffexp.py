@@ -10,6 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from varve.functions import stats
+from varve.session import Scratch
+
+
+TIES, TIED = 100_000, 10_000
 
 
 def benjamini_hochberg(df: DataFrame, keys: Sequence[str], p: str, out: str = "q") -> DataFrame:
@@ -18,9 +22,11 @@ def benjamini_hochberg(df: DataFrame, keys: Sequence[str], p: str, out: str = "q
     Null and NaN p-values do not count and get null. Ranks come from counts per distinct p, summed first over cells
     of p and then within a cell, so that no task holds all the tests of a large group.
     """
+    scratch = Scratch(df.sparkSession, "adjusted")
+    df = scratch.save(df.drop(out), "tests")
     usable = df.where(F.col(p).isNotNull() & ~F.isnan(p))
     cell = F.when(F.col("_p") <= 0, F.lit(-2_000)).otherwise(F.greatest(F.lit(-1_999), F.floor(F.log10("_p") * 64))).cast("int")
-    counts = usable.groupBy(*keys, F.col(p).alias("_p")).agg(F.count("*").alias("_n")).withColumn("_cell", cell)
+    counts = scratch.save(usable.groupBy(*keys, F.col(p).alias("_p")).agg(F.count("*").alias("_n")).withColumn("_cell", cell), "counts")
     cells = counts.groupBy(*keys, "_cell").agg(F.sum("_n").alias("_c"))
     over = Window.partitionBy(*keys)
     cells = cells.withColumn("_before", F.sum("_c").over(over.orderBy("_cell")) - F.col("_c")).withColumn("_all", F.sum("_c").over(over))
@@ -33,9 +39,19 @@ def benjamini_hochberg(df: DataFrame, keys: Sequence[str], p: str, out: str = "q
     same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in (*keys, "_cell")]
     final = ranked.alias("l").join(lows.select(*keys, "_cell", "_later").alias("r"), same).select("l.*", "_later")
     tail = F.min("_raw").over(within.orderBy(F.desc("_p")))
-    adjusted = final.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), "_p", F.least(F.lit(1.0), tail, F.coalesce("_later", F.lit(1.0))).alias(out))
+    adjusted = final.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), "_p", "_n", F.least(F.lit(1.0), tail, F.coalesce("_later", F.lit(1.0))).alias(out))
+    adjusted = scratch.save(adjusted, "adjusted")
     on = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)] + [F.col(p) == F.col("_p")]
-    return df.drop(out).join(adjusted, on, "left").drop("_p", *(f"_k{i}" for i in range(len(keys))))
+    spare = ["_p", "_n", *(f"_k{i}" for i in range(len(keys)))]
+    # p-values that very many tests share go to the rows by broadcast (there are at most TIED of them), so that
+    # no task gets all rows of one; the others by a join
+    total = adjusted.agg(F.sum("_n")).first()[0] or 0
+    shared = F.col("_n") > max(TIES, total / TIED)
+    tied = adjusted.where(shared)
+    if tied.isEmpty():
+        return df.join(adjusted, on, "left").drop(*spare)
+    hot = df.join(F.broadcast(tied), on).drop(*spare)
+    return hot.unionByName(df.join(F.broadcast(tied), on, "left_anti").join(adjusted.where(~shared), on, "left").drop(*spare))
 
 
 def cluster_sums(values: DataFrame, member: DataFrame, keys: Sequence[str], value: str = "norm") -> tuple[DataFrame, DataFrame]:

@@ -15,7 +15,7 @@ from varve.session import shared_dir
 
 def pearson(x: Column, y: Column) -> Column:
     """r of two columns over a group; null without variance."""
-    return F.when((F.stddev_pop(x) > 0) & (F.stddev_pop(y) > 0), F.corr(x, y))
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
 
 
 def pearson_p(r: Column, n: Column) -> Column:
@@ -24,24 +24,25 @@ def pearson_p(r: Column, n: Column) -> Column:
     return F.when(n > 2, F.when(F.abs(r) >= 1, F.lit(0.0)).otherwise(stats.t_two_sided(t, (n - 2).cast("double"))))
 
 
-def cluster_similarity(features: DataFrame, similarity: Callable[[Column, Column], Column] = pearson) -> DataFrame:
-    """One row per pair cluster1 < cluster2.
+def cluster_similarity(features: DataFrame, similarity: Callable[[Column, Column], Column] = pearson, within: Sequence[str] = ()) -> DataFrame:
+    """One row per pair cluster1 < cluster2 (M23, J4, A10), or with `within` per pair of clusters that agree in these columns.
 
     features: (cluster, gene_id, fold, mean, q). similarity compares the folds, similarity_1 the means, by an
     exchangeable aggregate (E1); ocldist and ocldist_fc are Euclidean distances of means and folds; jaccard and
     jaccard2 compare the genes with q <= 0.05 and a fold of at least 1 and 1.5, null if neither cluster has one.
     Clusters are few; pairs meet on the gene, so the work is spread over genes.
     """
-    one = features.select("gene_id", *(F.col(c).alias(f"{c}1") for c in ("cluster", "fold", "mean", "q")))
-    two = features.select("gene_id", *(F.col(c).alias(f"{c}2") for c in ("cluster", "fold", "mean", "q")))
-    pairs = one.join(two, "gene_id").where("cluster1 < cluster2")
+    keys = [*within, "gene_id"]
+    one = features.select(*keys, *(F.col(c).alias(f"{c}1") for c in ("cluster", "fold", "mean", "q")))
+    two = features.select(*keys, *(F.col(c).alias(f"{c}2") for c in ("cluster", "fold", "mean", "q")))
+    pairs = one.join(two, keys).where("cluster1 < cluster2")
 
     def overlap(fold: float) -> Column:
         a, b = (F.coalesce((F.col(f"q{i}") <= 0.05) & (F.col(f"fold{i}") >= fold), F.lit(False)) for i in (1, 2))
         return F.try_divide(F.count_if(a & b).cast("double"), F.count_if(a | b).cast("double"))
 
     gap = lambda x: F.sqrt(F.sum((F.col(f"{x}1") - F.col(f"{x}2")) * (F.col(f"{x}1") - F.col(f"{x}2"))))
-    return pairs.groupBy("cluster1", "cluster2").agg(
+    return pairs.groupBy(*within, "cluster1", "cluster2").agg(
         F.count("*").alias("n_genes"), similarity(F.col("fold1"), F.col("fold2")).alias("similarity"), similarity(F.col("mean1"), F.col("mean2")).alias("similarity_1"),
         gap("mean").alias("ocldist"), gap("fold").alias("ocldist_fc"), overlap(1.0).alias("jaccard"), overlap(1.5).alias("jaccard2"),
     )

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from varve.operators import diffexp, expression, qc, reduce, similarity
+from varve.operators import diffexp, expression, pipeline, qc, reduce, similarity
 from varve.session import Scratch, table
 from varve.sources import views
 
@@ -20,6 +20,12 @@ def _data(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]
     return views.retail_counts(spark, d), views.retail_cells(spark, d), views.retail_genes(spark, d)
 
 
+def _kept(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The data with the counts saved, for plans that read them more than once."""
+    counts, cells, genes = _data(spark, d)
+    return Scratch(spark, "counts").save(counts, "counts"), cells, genes
+
+
 def _metrics(spark: SparkSession, d: str) -> DataFrame:
     counts, cells, genes = _data(spark, d)
     return qc.cell_metrics(counts, cells, {"ribo": qc.gene_set(genes, FRONT), "mito": qc.gene_set(genes, OTHER)})
@@ -70,7 +76,7 @@ def normalize_log(spark: SparkSession, d: str) -> DataFrame:
 
 def _passed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """The normalised counts and the cells that pass the quality filter."""
-    counts, cells, _ = _data(spark, d)
+    counts, cells, _ = _kept(spark, d)
     metrics = qc.passing(qc.cell_metrics(counts, cells), min_genes=10).where("passed")
     kept = metrics.select("cell_id", "dataset", "origin", "experiment")
     return expression.normalise(counts).join(kept.select("cell_id"), "cell_id", "left_semi"), kept
@@ -107,17 +113,62 @@ def _signature(spark: SparkSession, d: str) -> DataFrame:
 
 
 def similar_genes(spark: SparkSession, d: str) -> DataFrame:
-    counts, cells, _ = _data(spark, d)
+    counts, cells, _ = _kept(spark, d)
     norm = Scratch(spark, "norm").save(expression.normalise(counts), "norm")
     return expression.similar_genes(expression.technical_features(norm, cells), _signature(spark, d), 5)
 
 
 def controlled_score(spark: SparkSession, d: str) -> DataFrame:
-    counts, cells, _ = _data(spark, d)
+    counts, cells, _ = _kept(spark, d)
     norm = Scratch(spark, "norm").save(expression.normalise(counts), "norm")
     return rounded(expression.controlled_score(norm, cells, _signature(spark, d), 5))
 
 
+def cell_cycle_scores(spark: SparkSession, d: str) -> DataFrame:
+    """M5: the list of stages is that of the parts of the three smallest sizes, in order of their keys."""
+    counts, cells, genes = _kept(spark, d)
+    norm = Scratch(spark, "norm").save(expression.normalise(counts), "norm")
+    small = table(spark, d, "part").where("p_size <= 3").select(F.col("p_partkey").alias("gene_id")).join(genes, "gene_id")
+    listed = small.select(F.row_number().over(Window.orderBy("gene_id")).alias("at"), F.upper("symbol").alias("symbol"))
+    return rounded(expression.cell_cycle_scores(norm, cells, genes, listed, 5))
+
+
+def ribosomal_score(spark: SparkSession, d: str) -> DataFrame:
+    """M4 against the genes' background."""
+    counts, cells, genes = _kept(spark, d)
+    norm = Scratch(spark, "norm").save(expression.normalise(counts), "norm")
+    return rounded(expression.gene_set_score(norm, cells, genes, FRONT, control=True, k=5))
+
+
+def read_data(spark: SparkSession, d: str) -> DataFrame:
+    """M1: the cells of all segments, read as datasets, filtered and merged."""
+    counts, cells, genes = _data(spark, d)
+    counts = Scratch(spark, "read").save(counts, "counts")
+    of = lambda df, name: df.where(F.col("dataset") == name)
+    names = [r[0] for r in cells.select("dataset").distinct().collect()]
+    parts = {n: (of(counts, n), genes, of(cells, n).select("cell_id")) for n in names}
+    return pipeline.read_data(parts, min_genes=10)["cells"].select("cell_id", "dataset", "numi", "ngenes")
+
+
+def _variable(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Normalised counts, cells and the genes that vary most in a segment."""
+    scratch = Scratch(spark, "variable")
+    norm, cells = (scratch.save(x, n) for x, n in zip(_passed(spark, d), ("norm", "cells"), strict=True))
+    return norm, cells, expression.variable_genes(norm, cells, min_z=2.5).select("gene_id").distinct()
+
+
+def variable_components(spark: SparkSession, d: str) -> DataFrame:
+    """The components of the variable genes against shuffled data."""
+    return pipeline.components(*_variable(spark, d), max_pcs=50)[2]
+
+
+def variable_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Variable genes, components, a real and a shuffled clustering, calibrated. Retail data hold no structure, so
+    ten components are taken whatever their p."""
+    found = pipeline.cluster_cells(*_variable(spark, d), ratios=(0.03,), shuffles=1, nearest=1, n_pcs=10, max_pcs=50, reps=2)
+    return rounded(found["calibrated"].select("run_id", "n_clusters", "modularity", "n_shuffled", "shuffled_mean", "shuffled_max", "fold"))
+
+
 def signature_match(spark: SparkSession, d: str) -> DataFrame:
     """The first gene of every symbol listed, letter case aside, with the symbol capitalised."""
     genes = table(spark, d, "genes").select(F.col("gene_id"), "symbol")
@@ -125,16 +176,31 @@ def signature_match(spark: SparkSession, d: str) -> DataFrame:
     return expression.match_signature(genes, listed).select("symbol", qc.cap_words("symbol").alias("display"), "gene_id")
 
 
+def _covariates(spark: SparkSession, d: str, cells: DataFrame) -> DataFrame:
+    sizes = views.retail_counts(spark, d).groupBy("cell_id").agg(F.ln(F.sum("count")).alias("depth"), F.count("*").cast("double").alias("width"))
+    return cells.join(sizes, "cell_id").select("cell_id", "dataset", "depth", "width")
+
+
+def regress_residuals(spark: SparkSession, d: str) -> DataFrame:
+    """M7: what depth and gene count leave of the most variable genes, zeros included, by dataset."""
+    norm, cells = _passed(spark, d)
+    scratch = Scratch(spark, "residuals")
+    norm, cells = scratch.save(norm, "norm"), scratch.save(cells, "cells")
+    covariates = scratch.save(_covariates(spark, d, cells), "covariates")
+    some = scratch.save(expression.variable_genes(norm, cells, min_z=2.5).select("dataset", "gene_id"), "genes")
+    betas = expression.regress_all(norm.join(some, ["dataset", "gene_id"], "left_semi"), covariates, ["depth", "width"])
+    return rounded(expression.residuals(norm, covariates, betas, ["depth", "width"]), 5)
+
+
 def regress_genes(spark: SparkSession, d: str) -> DataFrame:
     """M7: coefficients of every gene on the cell's depth and gene count, by dataset."""
     norm, cells = _passed(spark, d)
-    sizes = views.retail_counts(spark, d).groupBy("cell_id").agg(F.ln(F.sum("count")).alias("depth"), F.count("*").cast("double").alias("width"))
-    betas = expression.regress_all(norm, cells.join(sizes, "cell_id").select("cell_id", "dataset", "depth", "width"), ["depth", "width"])
+    betas = expression.regress_all(norm, _covariates(spark, d, cells), ["depth", "width"])
     return betas.select("dataset", "gene_id", *(F.round(F.col("beta")[i], 6).alias(c) for i, c in enumerate(("intercept", "depth", "width"))))
 
 
 def _sums(spark: SparkSession, d: str, keys: list[str], cluster: str) -> tuple[DataFrame, DataFrame]:
-    counts, cells, _ = _data(spark, d)
+    counts, cells, _ = _kept(spark, d)
     scratch = Scratch(spark, "sums")
     sums, sizes = diffexp.cluster_sums(expression.normalise(counts), cells.withColumn("cluster", F.expr(cluster)), keys)
     return scratch.save(sums, "sums"), scratch.save(sizes, "sizes")
@@ -163,8 +229,8 @@ def detection_ratios(spark: SparkSession, d: str) -> DataFrame:
 
 
 def robust_markers(spark: SparkSession, d: str) -> DataFrame:
-    """M18 between two segments, at bounds that retail data can meet."""
-    return diffexp.robust_markers(*_sums(spark, d, [], "dataset"), ["BUILDING"], ["MACHINERY", "HOUSEHOLD"], min_fold=1.02, min_ratio=1.2, max_q=1.0)
+    """M18 between segments, at bounds that retail data, which hold no real differences, can meet and fail."""
+    return diffexp.robust_markers(*_sums(spark, d, [], "dataset"), ["BUILDING"], ["MACHINERY", "HOUSEHOLD"], min_fold=1.02, min_ratio=1.2, max_q=0.9)
 
 
 def cluster_heatmap(spark: SparkSession, d: str) -> DataFrame:
@@ -233,7 +299,8 @@ def cluster_similarity_q(spark: SparkSession, d: str) -> DataFrame:
 
 
 def similarity_significance(spark: SparkSession, d: str) -> DataFrame:
-    return similarity.with_significance(_pairs(spark, d)).select("cluster1", "cluster2", "similarity", "significance", "q_val", "significance_1", "q_val_1")
+    found = similarity.with_significance(_pairs(spark, d))
+    return rounded(found.select("cluster1", "cluster2", "similarity", "significance", "q_val", "significance_1", "q_val_1"), 5)
 
 
 def robust_similarity(spark: SparkSession, d: str) -> DataFrame:
@@ -242,12 +309,6 @@ def robust_similarity(spark: SparkSession, d: str) -> DataFrame:
     return rounded(found.select("cluster1", "cluster2", "similarity", "z"), 5)
 
 
-def robust_similarity_q(spark: SparkSession, d: str) -> DataFrame:
-    """M24 with the adjusted p-value of the means' correlation."""
-    found = similarity.robust_pairs(similarity.with_significance(_pairs(spark, d)), min_sd=0.5)
-    return rounded(found.select("cluster1", "cluster2", "similarity", "z"), 5)
-
-
 def similarity_matrix(spark: SparkSession, d: str) -> DataFrame:
     """Similarities within one region as a square table by segment."""
     own = _pairs(spark, d).where("origin1 = 'ASIA' and origin2 = 'ASIA'").select(F.col("experiment1").alias("one"), F.col("experiment2").alias("two"), "similarity")
@@ -392,6 +453,40 @@ nr as (select a.gene_id, b.gene_id as other, row_number() over (partition by a.g
 """
 
 
+def correlation_p(r: str, n: str) -> str:
+    """The two-sided p of a correlation over n pairs, by the finite series of Student's t for whole degrees of freedom n - 2."""
+    c2, m = f"ln(greatest(1 - {r} * {r}, 1e-300))", f"({n} - 2)"
+    even = f"abs({r}) * list_sum(list_transform(range(0, ({m} // 2)::bigint), lambda j: exp(lgamma(j + 0.5) - lgamma(j + 1) - 0.5 * ln(pi()) + j * {c2})))"
+    odd = f"2 / pi() * (asin(abs({r})) + abs({r}) * coalesce(list_sum(list_transform(range(0, (({m} - 1) // 2)::bigint), lambda j: sqrt(pi()) / 2 * exp(lgamma(j + 1) - lgamma(j + 1.5) + (j + 0.5) * {c2}))), 0))"
+    return f"case when {r} is null or {n} < 3 then null when abs({r}) >= 1 then 0.0 else greatest(0.0, 1 - (case when {m} % 2 = 0 then {even} else {odd} end)) end"
+
+
+def _adjusted(p: str, q: str, source: str) -> str:
+    """(cluster1, cluster2, q): adjusted p-values over all rows of the source."""
+    raw = f"select cluster1, cluster2, {p} as p, {p} * count(*) over () / count(*) over (order by {p} range between unbounded preceding and current row) as raw from {source} where {p} is not null"
+    return f"(select cluster1, cluster2, least(1.0, min(raw) over (order by p range between current row and unbounded following)) as {q} from ({raw}))"
+
+
+_REGRESS = """cv as (select cell_id, ok.dataset, ln(numi) as x, ngenes::double as y from ok join tot using (cell_id)),
+ds as (select dataset, count(*) as n, sum(x) as sx, sum(y) as sy, sum(x * x) - sum(x) ** 2 / count(*) as sxx, sum(y * y) - sum(y) ** 2 / count(*) as syy, sum(x * y) - sum(x) * sum(y) / count(*) as sxy from cv group by 1),
+gp as (select dataset, gene_id, sum(norm) as s, sum(norm * x) as gx, sum(norm * y) as gy from np join cv using (cell_id, dataset) group by 1, 2),
+cs as (select dataset, gene_id, s, n, sx, sy, ((gx - s * sx / n) * syy - (gy - s * sy / n) * sxy) / (sxx * syy - sxy ** 2) as b1, ((gy - s * sy / n) * sxx - (gx - s * sx / n) * sxy) / (sxx * syy - sxy ** 2) as b2 from gp join ds using (dataset)),
+be as (select dataset, gene_id, s / n - b1 * sx / n - b2 * sy / n as b0, b1, b2 from cs),
+"""
+
+
+def _scores(sets: str, columns: str) -> str:
+    """Scores against the background of every named set (name, gene_id), five neighbours a gene."""
+    body = f"""sets as ({sets}),
+nb as (select name, a.gene_id, b.gene_id as other from sets join te a using (gene_id) join te b on a.gene_id <> b.gene_id
+  qualify row_number() over (partition by name, a.gene_id order by (b.m - a.m) * (b.m - a.m) + (b.v - a.v) * (b.v - a.v), b.gene_id) <= 5),
+bk as (select distinct nb.name, other as gene_id from nb anti join sets on nb.name = sets.name and nb.other = sets.gene_id),
+wt as (select name, gene_id, 1.0 / count(*) over (partition by name) as w from sets union all select name, gene_id, -1.0 / count(*) over (partition by name) from bk),
+sm as (select cell_id, name, sum(norm * w) as score from nrm join wt using (gene_id) group by 1, 2)
+"""
+    return _q(f"select rc.cell_id, {columns} from rc left join sm using (cell_id) group by 1", _FEATURES.split("sig as")[0], body)
+
+
 def _q(body: str, *parts: str) -> str:
     return (_BASE + "".join(parts)).rstrip().rstrip(",") + "\n" + body
 
@@ -431,6 +526,16 @@ ORACLES = {
     "similarity_scaled": _q("select cluster1, cluster2, round(-(ocldist - avg(ocldist) over ()) / stddev_samp(ocldist) over (), 5) as neg_ocldist, round(-(ocldist_fc - avg(ocldist_fc) over ()) / stddev_samp(ocldist_fc) over (), 5) as neg_ocldist_fc from pr", _SIM),
     "mitochondrial_score": _q("select rc.cell_id, round(coalesce(sum(norm) filter (where nrm.gene_id in (select gene_id from g where regexp_matches(symbol, '(?i)^red'))), 0) / (select count(*) from g where regexp_matches(symbol, '(?i)^red')), 6) as score from rc left join nrm using (cell_id) group by 1"),
     "top_marker_heatmap": _q("select cluster, gene_id, round(mean1, 6) as mean from te where gene_id in (select gene_id from (select gene_id, row_number() over (partition by cluster order by round(exp(logfc), 9) desc, gene_id) as place from te) where place <= 5)", _de("dataset")),
+    "subsample_cells": "select c_custkey as cell_id, c_mktsegment as dataset from customer order by md5('3-' || c_custkey), c_custkey limit 100",
+    "regress_genes": _q("select dataset, gene_id, round(b0, 6) as intercept, round(b1, 6) as depth, round(b2, 6) as width from be", _OK, _REGRESS),
+    "regress_residuals": _q("select cv.cell_id, be.gene_id, round(coalesce(norm, 0) - b0 - b1 * x - b2 * y, 5) as residual from cv join be using (dataset) join z2 using (dataset, gene_id) left join np on np.cell_id = cv.cell_id and np.gene_id = be.gene_id",
+        _HVG.replace("hv as (select * from zz where mean >= 0.05 and z >= 1)", "z2 as (select dataset, gene_id from zz where mean >= 0.05 and z >= 2.5),"), _REGRESS),
+    "cell_cycle_scores": _scores("select unnest(case when nth <= 43 then ['s', 'a'] when nth <= 98 then ['g', 'a'] else [] end) as name, gene_id from (select p_partkey as gene_id, row_number() over (order by p_partkey) as nth from part where p_size <= 3)",
+        ", ".join(f"round(coalesce(max(score) filter (where name = '{n}'), 0), 6) as {c}" for n, c in (("s", "s_stage"), ("g", "g2m_stage"), ("a", "aggregate_s_g2m_stage")))),
+    "ribosomal_score": _scores("select 'r' as name, gene_id from front", "round(coalesce(max(score), 0), 6) as score"),
+    "read_data": _q("select ok.cell_id + (dense_rank() over (order by ok.dataset) - 1) * (max(ok.cell_id) over () + 1) as cell_id, ok.dataset, numi, ngenes from ok join tot using (cell_id)", _OK),
+    "similarity_significance": _q(f"select cluster1, cluster2, round(similarity, 5) as similarity, round(significance, 5) as significance, round(q_val, 5) as q_val, round(significance_1, 5) as significance_1, round(q_val_1, 5) as q_val_1 from sp left join {_adjusted('significance', 'q_val', 'sp')} using (cluster1, cluster2) left join {_adjusted('significance_1', 'q_val_1', 'sp')} using (cluster1, cluster2)",
+        _SIM, f", sp as (select *, {correlation_p('similarity', 'n_genes')} as significance, {correlation_p('similarity_1', 'n_genes')} as significance_1 from pr)\n"),
     "similarity_degree": _q("select cluster, count(*) as degree from (select cluster1 as cluster from pr where round(similarity, 9) > 0 union all select cluster2 from pr where round(similarity, 9) > 0) group by 1", _SIM),
     "pair_scatter": _q("select rc.cell_id, round(coalesce(max(norm) filter (where gene_id = 1), 0), 6) as x, round(coalesce(max(norm) filter (where gene_id = 2), 0), 6) as y from rc left join nrm using (cell_id) group by 1"),
     "activation_overlay": _q("select cell_id, round((score - (select avg(score) from sc)) / (select stddev_samp(score) from sc), 5) as z from sc where score > (select quantile_cont(score, 0.9) from sc)", "sc as (select rc.cell_id, coalesce(sum(norm) filter (where front.gene_id is not null), 0) / (select count(*) from front) as score from rc left join nrm using (cell_id) left join front using (gene_id) group by 1)\n"),
@@ -443,8 +548,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         qc_metrics, qc_filter, qc_quantiles, qc_metric_pairs, marker_cell_filter, gene_filter, prefilter_cells, subsample_cells, normalize_log, hvg, hvg_union, hvg_shared, gene_moments,
-        signature_mean, similar_genes, controlled_score, signature_match, regress_genes, de_one_vs_rest, de_by_origin, de_moderated, detection_ratios, robust_markers, cluster_heatmap,
-        heatmap_row_order, heatmap_scaled, cluster_names, named_cells, varying_genes, cluster_similarity, cluster_similarity_q, similarity_significance, robust_similarity, robust_similarity_q, similarity_matrix,
+        signature_mean, similar_genes, controlled_score, cell_cycle_scores, ribosomal_score, read_data, variable_components, variable_clusters, signature_match, regress_genes, regress_residuals, de_one_vs_rest, de_by_origin, de_moderated, detection_ratios, robust_markers, cluster_heatmap,
+        heatmap_row_order, heatmap_scaled, cluster_names, named_cells, varying_genes, cluster_similarity, cluster_similarity_q, similarity_significance, robust_similarity, similarity_matrix,
         sample_pair_matrix, similarity_scaled, mitochondrial_score, moderated_f, top_marker_heatmap, similarity_degree, similarity_branches, pair_scatter, activation_overlay, minmax_violin, group_means, dedupe_all_copies,
     )
 }

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from varve.model import current
 from varve.operators import calibration, diffexp, expression, qc, reduce, similarity
-from varve.plans.retail import rounded
-from varve.session import table
+from varve.plans.retail import correlation_p, rounded
+from varve.session import Scratch, table
 from varve.sources import views
 
 
@@ -150,12 +150,42 @@ def united_gene_filter(spark: SparkSession, d: str) -> DataFrame:
 
 
 def embedding_table(spark: SparkSession, d: str) -> DataFrame:
-    """V1, V3: the first two scores of every cell, equal ones once, with its confounders and dataset."""
+    """V1, V3: the first two scores of every cell, equal ones once and unusable ones (NaN) null, with its confounders and dataset."""
     rows = current(table(spark, d, "pcs"), ["cell_id"], "computed_at").where("size(pc) >= 2")
-    first = qc.keep_first(rows, "pc", "cell_id").select("cell_id", F.col("pc")[0].alias("x"), F.col("pc")[1].alias("y"))
+    first = qc.keep_first(rows, "pc", "cell_id").select("cell_id", F.nanvl(F.col("pc")[0], F.lit(None)).alias("x"), F.nanvl(F.col("pc")[1], F.lit(None)).alias("y"))
     return first.join(_confounders(spark, d).select("cell_id", "dataset", "numi", "ngenes"), "cell_id", "left")
 
 
+def _test_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of a contrast group's clusters by their tested genes: fold, average expression and q are those of diffexp."""
+    finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    tests = _tests(spark, d).where(finite("fold") & finite("ave_expr"))
+    features = tests.select("contrast_group", F.col("cluster_id").alias("cluster"), "gene_id", "fold", F.col("ave_expr").alias("mean"), "q")
+    return Scratch(spark, "test-pairs").save(similarity.cluster_similarity(features, within=["contrast_group"]), "pairs")
+
+
+def test_similarity(spark: SparkSession, d: str) -> DataFrame:
+    """M23 within every contrast group, the Jaccard columns by q <= 0.05 and fold."""
+    return rounded(_test_pairs(spark, d), 5)
+
+
+def robust_similarity_q(spark: SparkSession, d: str) -> DataFrame:
+    """M24 with the adjusted p-value of the means' correlation, every contrast group being an origin and its clusters experiments."""
+    pairs = _test_pairs(spark, d).where("n_genes >= 3").withColumns({"cluster1": F.concat_ws("/", "contrast_group", "cluster1"), "cluster2": F.concat_ws("/", "contrast_group", "cluster2")})
+    named = pairs.withColumns({"origin1": F.col("contrast_group"), "origin2": F.col("contrast_group"), "experiment1": F.col("cluster1"), "experiment2": F.col("cluster2")})
+    found = similarity.robust_pairs(similarity.with_significance(named), min_sd=1.0, max_q=0.9)
+    return rounded(found.select("cluster1", "cluster2", "n_genes", "similarity", "similarity_1", "significance_1", "q_val_1", "z"), 5)
+
+
+def cluster_names_q(spark: SparkSession, d: str) -> DataFrame:
+    """M19 by fold and q: clusters of every contrast group named by the gene families of which more than half are significant."""
+    genes = table(spark, d, "genes").where("symbol is not null")
+    name = F.concat_ws("/", "contrast_group", F.col("cluster_id").cast("string")).alias("cluster")
+    tests = _tests(spark, d)
+    strong = diffexp.significant(tests).join(genes, "gene_id").select(name, F.col("symbol").alias("gene"))
+    return diffexp.cluster_names(strong, genes.select(F.lower(F.substring("symbol", 1, 4)).alias("type"), F.col("symbol").alias("gene")), tests.select(name))
+
+
 _CONF = """with la as (select cell_id, max_by(struct_pack(numi := numi, ngenes := ngenes, mito := mito_frac, ribo := ribo_frac), loaded_at) as v from confounders group by 1),
 so as (select cell_id, max(dataset) as dataset, max(origin) as origin from cells group by 1),
 cf as (select cell_id, dataset, origin, case when v.numi > 0 and not isnan(v.numi) then v.numi end as numi, case when v.ngenes > 0 then v.ngenes end as ngenes,
@@ -181,9 +211,34 @@ ca as (select project, run_id, n_clusters, modularity, n_shuffled, shuffled_mean
 """
 )
 
+_TEST_PAIRS = (
+    _TESTS
+    + """, ft as (select contrast_group, cluster_id as cluster, gene_id, fold, ave_expr as mean, coalesce(q <= 0.05, false) as sig from ts where isfinite(fold) and isfinite(ave_expr)),
+tp as (select a.contrast_group, a.cluster as cluster1, b.cluster as cluster2, count(*) as n_genes,
+  case when stddev_pop(a.fold) > 0 and stddev_pop(b.fold) > 0 then corr(a.fold, b.fold) end as similarity, case when stddev_pop(a.mean) > 0 and stddev_pop(b.mean) > 0 then corr(a.mean, b.mean) end as similarity_1,
+  sqrt(sum((a.mean - b.mean) ** 2)) as ocldist, sqrt(sum((a.fold - b.fold) ** 2)) as ocldist_fc,
+  count(*) filter (where a.sig and a.fold >= 1 and b.sig and b.fold >= 1) / nullif(count(*) filter (where (a.sig and a.fold >= 1) or (b.sig and b.fold >= 1)), 0) as jaccard,
+  count(*) filter (where a.sig and a.fold >= 1.5 and b.sig and b.fold >= 1.5) / nullif(count(*) filter (where (a.sig and a.fold >= 1.5) or (b.sig and b.fold >= 1.5)), 0) as jaccard2
+  from ft a join ft b using (contrast_group, gene_id) where a.cluster < b.cluster group by 1, 2, 3)
+"""
+)
+
 ORACLES = {
+    "test_similarity": _TEST_PAIRS + "select contrast_group, cluster1, cluster2, n_genes, round(similarity, 5) as similarity, round(similarity_1, 5) as similarity_1, round(ocldist, 5) as ocldist, round(ocldist_fc, 5) as ocldist_fc, round(jaccard, 5) as jaccard, round(jaccard2, 5) as jaccard2 from tp",
+    "robust_similarity_q": _TEST_PAIRS + f""", sp as (select contrast_group || '/' || cluster1 as cluster1, contrast_group || '/' || cluster2 as cluster2, contrast_group, n_genes, similarity, similarity_1, {correlation_p("similarity_1", "n_genes")} as significance_1 from tp where n_genes >= 3),
+sq as (select *, significance_1 * count(*) over () / count(*) over (order by significance_1 range between unbounded preceding and current row) as raw from sp where significance_1 is not null),
+sa as (select cluster1, cluster2, least(1.0, min(raw) over (order by significance_1 range between current row and unbounded following)) as q_val_1 from sq),
+zs as (select sp.*, q_val_1, (similarity - avg(similarity) over (partition by contrast_group)) / nullif(stddev_samp(similarity) over (partition by contrast_group), 0) as z from sp left join sa using (cluster1, cluster2)),
+rb as (select cluster1 as cl from zs where z >= 1 and q_val_1 <= 0.9 union select cluster2 from zs where z >= 1 and q_val_1 <= 0.9)
+select cluster1, cluster2, n_genes, round(similarity, 5) as similarity, round(similarity_1, 5) as similarity_1, round(significance_1, 5) as significance_1, round(q_val_1, 5) as q_val_1, round(z, 5) as z from zs where cluster1 in (select cl from rb) and cluster2 in (select cl from rb)""",
+    "cluster_names_q": _TESTS + """, gs as (select gene_id, lower(symbol) as gene, lower(symbol[1:4]) as type from genes where symbol is not null),
+ru as (select distinct type, gene from gs), nd as (select type, count(*) as need from ru group by 1),
+st as (select distinct contrast_group || '/' || cluster_id as cluster, gene from ts join gs using (gene_id) where q <= 0.05 and fold >= 1.5),
+ex as (select cluster, type, count(*) - any_value(need) / 2 as e from st join ru using (gene) join nd using (type) group by 1, 2 having count(*) - any_value(need) / 2 > 0),
+na as (select cluster, coalesce(string_agg(type, '_' order by e desc, type), 'Unknown') as name from (select distinct contrast_group || '/' || cluster_id as cluster from ts) left join ex using (cluster) group by 1)
+select cluster, case when count(*) over (partition by name) > 1 then name || '_' || row_number() over (partition by name order by cluster) else name end as name from na""",
     "united_gene_filter": "select lower(symbol) as symbol, bool_or(coalesce(keep, false)) as keep from genes where symbol is not null group by 1",
-    "embedding_table": _CONF + ", pc0 as (select cell_id, max_by(pc, computed_at) as pc from pcs group by 1), pc1 as (select min(cell_id) as cell_id, pc from pc0 where len(pc) >= 2 group by pc) select cell_id, pc[1] as x, pc[2] as y, dataset, numi, ngenes from pc1 left join cf using (cell_id)",
+    "embedding_table": _CONF + ", pc0 as (select cell_id, max_by(pc, computed_at) as pc from pcs group by 1), pc1 as (select min(cell_id) as cell_id, pc from pc0 where len(pc) >= 2 group by pc) select cell_id, case when not isnan(pc[1]) then pc[1] end as x, case when not isnan(pc[2]) then pc[2] end as y, dataset, numi, ngenes from pc1 left join cf using (cell_id)",
     "cells_qc_filter": _CONF + "select cell_id, dataset, coalesce(ngenes >= 500 and ngenes <= qg and numi <= qu and mito_frac <= 0.1 and ribo_frac <= 0.35, false) as passed from cf join (select dataset, quantile_cont(ngenes, 0.98) as qg, quantile_cont(numi, 0.98) as qu from cf group by 1) using (dataset)",
     "cells_quantiles": _CONF + "select dataset, p::double as p, round(case p when 0.01 then a when 0.5 then b else c end, 6) as value from (select dataset, quantile_cont(numi, 0.01) as a, quantile_cont(numi, 0.5) as b, quantile_cont(numi, 0.98) as c from cf where numi is not null group by 1), (values (0.01), (0.5), (0.98)) v(p)",
     "confounder_quartiles": _CONF + "select origin, count(*) as n, round(quantile_cont(mito_frac, 0.25), 6) as q25, round(quantile_cont(mito_frac, 0.5), 6) as q50, round(quantile_cont(mito_frac, 0.75), 6) as q75 from cf where mito_frac is not null group by 1",
@@ -210,6 +265,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         cells_qc_filter, cells_quantiles, confounder_quartiles, regress_confounder, add_confounders, gene_set_select, duplicate_names, capitalise_symbols, bh_adjust, significant_tests,
-        two_sided_tests, complete_tests, top_n_per_cluster, confusion_table, cluster_sizes, merge_cluster_offsets, calibration_nearest, modularity_by_count, chosen_ratio, distinct_pcs, united_gene_filter, embedding_table,
+        two_sided_tests, complete_tests, top_n_per_cluster, confusion_table, cluster_sizes, merge_cluster_offsets, calibration_nearest, modularity_by_count, chosen_ratio, distinct_pcs, united_gene_filter, embedding_table, test_similarity, robust_similarity_q, cluster_names_q,
     )
 }
