@@ -38,6 +38,7 @@ def variable_genes(normalised: DataFrame, cells: DataFrame, *, min_mean: float =
     """
     stats = moments(normalised.withColumn("_x", F.expm1("norm")), cells, ["dataset"], F.col("_x"))
     level = stats.select("dataset", "gene_id", "frac", F.log1p("mean").alias("mean"), F.when(F.col("var") > 0, F.ln(F.col("var") / F.col("mean"))).alias("dispersion"))
+    level = Scratch(normalised.sparkSession, "variable").save(level, "level")  # read four times, and small against the values
     ends = level.groupBy("dataset").agg(F.min("mean").alias("_lo"), F.max("mean").alias("_hi"))
     width = (F.col("_hi") - F.col("_lo")) / bins
     place = F.when(F.col("_hi") > F.col("_lo"), F.least(F.lit(bins), F.greatest(F.lit(1), F.ceil((F.col("mean") - F.col("_lo")) / width)))).otherwise(1).cast("int")
@@ -59,7 +60,7 @@ def signature_mean(normalised: DataFrame, cells: DataFrame, genes: DataFrame) ->
 
 def technical_features(normalised: DataFrame, cells: DataFrame) -> DataFrame:
     """(gene_id, m, v): every gene's mean and variance of norm over all cells, each as a z-score."""
-    stats = moments(normalised, cells, [], F.col("norm"))
+    stats = Scratch(normalised.sparkSession, "technical").save(moments(normalised, cells, [], F.col("norm")), "moments")
     ends = stats.agg(F.avg("mean").alias("_a"), F.stddev_samp("mean").alias("_b"), F.avg("var").alias("_c"), F.stddev_samp("var").alias("_d"))
     z = lambda x, a, b: F.coalesce(F.try_divide(F.col(x) - F.col(a), F.col(b)), F.lit(0.0))
     return stats.join(F.broadcast(ends)).select("gene_id", z("mean", "_a", "_b").alias("m"), z("var", "_c", "_d").alias("v"))
