@@ -99,6 +99,21 @@ def test_edited_copies_score(spark):
     assert got[1, 1].run == 10 and got[1, 1].score == 2 * 28 - 1 - 2
 
 
+def test_recall_of_edited_copies(spark):
+    rng = np.random.default_rng(6)
+    lexicon = [f"v{i}" for i in range(3000)]
+    items = [list(rng.choice(lexicon, 40)) for _ in range(100)]
+    docs, planted = [], {}
+    for k, share in enumerate((0.05, 0.1, 0.15, 0.2)):
+        for i, item in enumerate(items):
+            copy = [str(rng.choice(lexicon)) if rng.random() < share else w for w in item]
+            docs.append((1000 * k + i, " ".join([*rng.choice(lexicon, 30), *copy, *rng.choice(lexicon, 30)]), 0))
+            planted.setdefault(share, []).append((1000 * k + i, i))
+    got = _leaks(spark, docs, [(i, " ".join(item), 0) for i, item in enumerate(items)])
+    found = {share: sum(pair in got and got[pair].score >= 2 * leaks.PASSAGE for pair in pairs) for share, pairs in planted.items()}
+    assert found[0.05] == 100 and found[0.1] >= 99 and found[0.15] >= 97 and found[0.2] >= 90
+
+
 def test_edited_copy_beside_a_verbatim_one(spark):
     item = [f"t{i}" for i in range(40)]
     edited = [f"x{i}" if i % 11 == 5 else w for i, w in enumerate(item)]
