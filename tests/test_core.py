@@ -272,6 +272,43 @@ def test_shuffled_runs_cluster_a_pca_of_the_shuffle(spark, monkeypatch):
         assert np.allclose(np.abs(got), np.abs(z @ np.linalg.svd(z)[2][:2].T))
 
 
+def test_many_graphs_settle_as_each_alone(spark):
+    rng = np.random.default_rng(21)
+    rows = []
+    for name, n in (("a", 16), ("b", 12)):
+        for i in range(n):
+            for j in range(i + 1, n):
+                if rng.random() < (0.5 if i % 4 == j % 4 else 0.05):
+                    rows.append((name, i, j, float(rng.integers(1, 5))))
+    rows += [("d", 1, 2, 0.0), (None, 1, 2, 1.0)]
+    edges = spark.createDataFrame(rows, "run string, src bigint, dst bigint, w double")
+    got = graph.louvain(edges, "run")
+    assert got.columns == ["run", "level", "cell_id", "cluster"]
+    quality = {r.run: r.modularity for r in graph.modularity(edges.where("run <> 'd'"), got.where("level = 1"), "run").collect()}
+    for name in "ad":
+        alone = graph.louvain(edges.where(F.col("run") == name))
+        assert sorted(map(tuple, alone.collect())) == sorted(tuple(r)[1:] for r in got.where(F.col("run") == name).collect())
+        if name != "d":
+            assert quality[name] == pytest.approx(graph.modularity(edges.where(F.col("run") == name), alone.where("level = 1")).first()[0])
+    assert got.where("run is null").count() == 0 and graph.louvain(edges.limit(0), "run").count() == 0
+
+
+def test_grid_holds_the_run_made_alone(spark):
+    rng = np.random.default_rng(22)
+    x = rng.normal(size=(24, 3)) @ rng.normal(size=(3, 6)) + 3 * (np.arange(24) % 3)[:, None] * rng.normal(size=6)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "cell_id bigint, v array<double>")
+    runs, members = calibration.cluster_grid(df, 3, [0.15, 0.25], 1)
+    assert runs.count() == 4
+    run, member = calibration.cluster_run(pca.shuffled_scores(df, 3, 1), 0.15, "shuffled", 1)
+    alone, chosen = run.first(), "kind = 'shuffled' and rep = 1 and knn_ratio = 0.15"
+    same = runs.where(chosen).first()
+    assert same.n_clusters == alone.n_clusters and same.modularity == pytest.approx(alone.modularity)
+    both = [{(r.level, r.cell_id, r.cluster) for r in t.collect()} for t in (member, members.where(chosen))]
+    assert both[0] == both[1] and both[0]
+    with pytest.raises(ValueError):
+        calibration.cluster_grid(df, 3, [0.99], 1)
+
+
 def test_similarity_helpers(spark):
     pairs = spark.createDataFrame([("a", "b", 0.9), ("a", "c", 0.2), ("b", "c", 0.1)], "cluster1 string, cluster2 string, similarity double")
     assert {r.cluster: r.degree for r in similarity.degrees(pairs).collect()} == {"a": 2, "b": 1, "c": 1}

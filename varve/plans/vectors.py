@@ -36,8 +36,13 @@ def louvain_membership(spark: SparkSession, d: str) -> DataFrame:
 
 
 def clustering_runs(spark: SparkSession, d: str) -> DataFrame:
-    """One real and one shuffled run at one ratio, each on its first 20 components."""
-    return calibration.cluster_analysis(_rows(spark, d), 20, [0.02], 1)[0]
+    """Two ratios, carried on to a third on three shuffles, on the first 20 components; real runs with their calibration."""
+    runs = calibration.cluster_grid(_rows(spark, d), 20, [0.02, 0.025], 3)[0]
+    name = F.concat_ws("-", "kind", F.col("rep").cast("string"), F.col("knn_ratio").cast("string")).alias("run_id")
+    named = Scratch(spark, "runs").save(runs.select(F.lit("vectors").alias("project"), name, "*"), "runs")
+    folds = calibration.calibrated(named, 5).select("run_id", "n_shuffled", "shuffled_mean", "shuffled_max", "fold")
+    chosen = calibration.choose_ratio(folds.withColumn("project", F.lit("vectors")), named).select("run_id", F.lit(True).alias("chosen"))
+    return named.drop("project").join(folds, "run_id", "left").join(chosen, "run_id", "left").fillna(False, ["chosen"])
 
 
 def _rows(spark: SparkSession, d: str) -> DataFrame:
@@ -54,7 +59,7 @@ def pc_drivers(spark: SparkSession, d: str) -> DataFrame:
 
 def pc_permutation_test(spark: SparkSession, d: str) -> DataFrame:
     rows = _rows(spark, d)
-    return pca.permutation_test(rows, pca.pca(rows, 20)[2], reps=5)
+    return pca.permutation_test(rows, pca.pca(rows, 20)[2])
 
 
 _KNN = f"""with v as (select vec_id as cell_id, embedding::double[] as pc, label as cluster from embeddings),
