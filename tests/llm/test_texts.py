@@ -193,3 +193,12 @@ def test_own_text_ends_at_a_signature_below_a_rule():
     assert spam.own_text("mine, all<hr><i>A slanted signature.</i>\n").split() == ["mine,", "all"]
     assert spam.own_text("first<hr>then <i>slanted</i> and on").split() == ["first", "then", "slanted", "and", "on"]
     assert spam.own_text("<hr><i>nothing else</i>").split() == ["nothing", "else"]
+
+
+def test_dividers_part_the_text_and_end_nothing():
+    blocks = ["cheap lamps, new lamps, best lamps", "red shoes, blue shoes, low price", "phone case, glass case, sale"]
+    text = "\n_____\n".join(blocks)
+    assert "red shoes" in spam.own_text(text) and "glass" not in spam.own_text(text)
+    long = "head\n--\n" + "one word after another " * 20
+    assert spam.own_text(long).split().count("word") == 20
+    assert spam.own_text("mine\n-- \nmy name\n--\n").split() == ["mine"]

@@ -42,6 +42,7 @@ CLASS_OF = {word: name for name, listed in reversed(FUNCTION_WORDS.items()) for
 ORDER = 5
 ENTRIES = 6
 SHARE = 2 / 3
+SIGNATURE_WORDS = 60
 HIGH, LOW = 1.6, 0.25
 
 BREAK = re.compile(r"<\s*(?:br|p|/p|div|/div|hr|li|/li|tr|/tr|ul|/ul)\b[^<>]*>", re.I)
@@ -71,7 +72,8 @@ def _link(address: str) -> str:
 
 def own_text(text: str | None) -> str:
     """The poster's own words, a line a visible line: without quotes in any style, the lines that introduce them, the
-    signature (below a line of dashes, or slanted below a rule), images and code. A link is LINK, MORE for every further word of its address, and its text. None and
+    signature (at most SIGNATURE_WORDS words below the last line of dashes with any below it, or slanted below a rule), images and code. Earlier such lines,
+    and one above a longer text, part the text and end nothing. A link is LINK, MORE for every further word of its address, and its text. None and
     empty texts have none."""
     if not text:
         return ""
@@ -101,12 +103,9 @@ def own_text(text: str | None) -> str:
             continue
         lines.append(line)
     text = "\n".join(lines)
-    end = None
-    for end in SIGNATURE.finditer(text):
-        if WORD.search(text[: end.start()]):
-            break
-    if end is not None and WORD.search(text[: end.start()]):
-        text = text[: end.start()]
+    ends = [end for end in SIGNATURE.finditer(text) if WORD.search(text, end.end())]
+    if ends and WORD.search(text[: ends[-1].start()]) and len(WORD.findall(text[ends[-1].end() :])) <= SIGNATURE_WORDS:
+        text = text[: ends[-1].start()]
     text = ANCHOR.sub(lambda m: _link(m.group(1) or m.group(3) or "") + (m.group(2) or m.group(4) or "") + " \n", text)
     text = OTHER_TAG.sub(" ", text)
     return URL.sub(lambda m: _link(m.group()), _visible(html.unescape(text)))
