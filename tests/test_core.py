@@ -126,6 +126,17 @@ def test_regression_matches_least_squares(spark):
     assert np.allclose(got, y - np.column_stack([np.ones(20), c]) @ want)
 
 
+def test_regression_keeps_the_digits_of_far_off_covariates(spark):
+    rng = np.random.default_rng(31)
+    c = np.column_stack([1e5 + rng.normal(size=60), rng.normal(size=60)])
+    y = np.where(rng.random(60) < 0.5, 0.0, 2 + (c - [1e5, 0]) @ [0.5, -1])
+    norm = spark.createDataFrame([(i, 7, float(y[i])) for i in range(60) if y[i]], "cell_id bigint, gene_id int, norm double")
+    cov = spark.createDataFrame([(i, "a", float(c[i, 0]), float(c[i, 1])) for i in range(60)], "cell_id bigint, dataset string, u double, v double")
+    near = c - c.mean(0)
+    slopes = np.linalg.lstsq(near, y - y.mean(), rcond=None)[0]
+    assert np.allclose(expression.regress_all(norm, cov, ["u", "v"]).first().beta, [y.mean() - slopes @ c.mean(0), *slopes], rtol=1e-9)
+
+
 @pytest.mark.parametrize("ties", [diffexp.TIES, 3])
 def test_benjamini_hochberg(spark, monkeypatch, ties):
     monkeypatch.setattr(diffexp, "TIES", ties)

@@ -164,20 +164,32 @@ def regress_one(df: DataFrame, keys: Sequence[str], y: str, x: str) -> DataFrame
 def regress_all(normalised: DataFrame, covariates: DataFrame, names: Sequence[str]) -> DataFrame:
     """(dataset, gene_id, beta): least squares of every gene on 1 and the covariates by dataset, from sums alone (M7).
 
-    covariates: (cell_id, dataset, names), one row a cell, without nulls. The design's normal matrix is one small
-    array a dataset, a gene adds its products with the design; zeros add nothing to those.
+    covariates: (cell_id, dataset, names), one row a cell, without nulls. Covariates are taken from their means in the dataset
+    first, else a mean that is large against the spread costs the digits of the slopes. Their products are one small
+    array a dataset, a gene adds its products with them; zeros add nothing to those.
     """
-    terms = [F.lit(1.0), *(F.col(c).cast("double") for c in names)]
-    size = len(terms)
-    design = covariates.groupBy("dataset").agg(F.array(*(F.sum(a * b) for a in terms for b in terms)).alias("xx"))
-    joined = normalised.select("cell_id", "gene_id", "norm").join(covariates, "cell_id")
-    products = joined.groupBy("dataset", "gene_id").agg(F.array(*(F.sum(t * F.col("norm")) for t in terms)).alias("xy"))
+    size = len(names)
+    means = covariates.groupBy("dataset").agg(F.count("*").cast("double").alias("_n"), *(F.avg(F.col(c).cast("double")).alias(f"_m{i}") for i, c in enumerate(names)))
+    centred = covariates.join(F.broadcast(means), "dataset").select("cell_id", "dataset", *((F.col(c).cast("double") - F.col(f"_m{i}")).alias(f"_x{i}") for i, c in enumerate(names)))
+    terms = [F.col(f"_x{i}") for i in range(size)]
+    double = "array<double>"
+    design = centred.groupBy("dataset").agg(F.array(*(F.sum(a * b) for a in terms for b in terms)).cast(double).alias("xx"))
+    centre = means.select("dataset", "_n", F.array(*(F.col(f"_m{i}") for i in range(size))).cast(double).alias("mx"))
+    joined = normalised.select("cell_id", "gene_id", "norm").join(centred, "cell_id")
+    products = joined.groupBy("dataset", "gene_id").agg(F.sum("norm").alias("_y"), F.array(*(F.sum(t * F.col("norm")) for t in terms)).cast(double).alias("xy"))
 
     @F.pandas_udf("array<double>")
-    def solve(xx: pd.Series, xy: pd.Series) -> pd.Series:
-        return pd.Series([np.linalg.lstsq(np.reshape(a, (size, size)), np.asarray(b), rcond=None)[0].tolist() for a, b in zip(xx, xy, strict=True)])
-
-    return products.join(design, "dataset").select("dataset", "gene_id", solve("xx", "xy").alias("beta"))
+    def solve(n: pd.Series, y: pd.Series, mx: pd.Series, xx: pd.Series, xy: pd.Series) -> pd.Series:
+        out = []
+        for count, total, at, a, b in zip(n, y, mx, xx, xy, strict=True):
+            # in units of its spread a covariate weighs alike, whatever it is measured in
+            a = np.reshape(np.asarray(a, dtype=float), (size, size))
+            unit = np.sqrt(np.where(np.diag(a) > 0, np.diag(a), 1.0))
+            slopes = np.linalg.lstsq(a / np.outer(unit, unit), np.asarray(b, dtype=float) / unit, rcond=None)[0] / unit
+            out.append([float(total / count - slopes @ np.asarray(at, dtype=float)), *slopes.tolist()])
+        return pd.Series(out)
+
+    return products.join(F.broadcast(design), "dataset").join(F.broadcast(centre), "dataset").select("dataset", "gene_id", solve("_n", "_y", "mx", "xx", "xy").alias("beta"))
 
 
 def residuals(normalised: DataFrame, covariates: DataFrame, betas: DataFrame, names: Sequence[str]) -> DataFrame:

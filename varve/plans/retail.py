@@ -195,7 +195,8 @@ def regress_residuals(spark: SparkSession, d: str) -> DataFrame:
 def regress_genes(spark: SparkSession, d: str) -> DataFrame:
     """M7: coefficients of every gene on the cell's depth and gene count, by dataset."""
     norm, cells = _passed(spark, d)
-    betas = expression.regress_all(norm, _covariates(spark, d, cells), ["depth", "width"])
+    covariates = Scratch(spark, "regress").save(_covariates(spark, d, cells), "covariates")
+    betas = expression.regress_all(norm, covariates, ["depth", "width"])
     return betas.select("dataset", "gene_id", *(F.round(F.col("beta")[i], 6).alias(c) for i, c in enumerate(("intercept", "depth", "width"))))
 
 
