@@ -268,6 +268,55 @@ def test_components_match_numpy(spark):
     assert test[-1].p == 1.0 and all(a.p <= b.p for a, b in zip(test, test[1:], strict=False))
 
 
+def test_components_of_many_features_need_no_square_of_them(spark, monkeypatch):
+    def refuse(*_):
+        raise AssertionError("features x features numbers")
+
+    monkeypatch.setattr(pca, "_products", refuse)
+    rng = np.random.default_rng(32)
+    n, p = 150, 1300
+    x = np.where(rng.random((n, p)) < 0.1, rng.gamma(2.0, 1.0, (n, p)), 0.0)
+    x[: n // 3, :200] *= 3
+    x[:, 7], x[5] = 0, 0
+    norm = spark.createDataFrame([(i, 10 * j, float(x[i, j])) for i in range(n) for j in range(p) if x[i, j]], "cell_id bigint, gene_id int, norm double")
+    genes = spark.createDataFrame([(10 * j,) for j in range(p)], "gene_id int")
+    df = pca.sparse_vectors(norm, spark.range(n).select(F.col("id").alias("cell_id")), genes)
+    assert all(np.array_equal(v, x[i]) for i, v in pca.dense(df).collect())
+    scores, loadings, shares = pca.pca(df, 12)
+    z = np.delete(x, 7, 1)
+    z = (z - z.mean(0)) / z.std(0, ddof=1)
+    _, s, t = np.linalg.svd(z, full_matrices=False)
+    assert np.allclose(shares, s[:11] ** 2 / (s[:11] ** 2).sum())
+    got = np.array([r.pc for r in scores.orderBy("cell_id").collect()])
+    assert np.allclose(np.abs(got), np.abs(z @ t[:11].T), rtol=1e-5, atol=1e-6)
+    assert np.allclose(np.abs([r.loading for r in loadings.where("pc = 2").orderBy("feature").collect()]), np.abs(t[1])) and loadings.where("feature = 7").count() == 0
+    test = pca.permutation_test(df, shares, reps=3).orderBy("pc").collect()
+    hits = np.zeros(11)
+    for rep in range(3):
+        moved = np.zeros((n, p))
+        for i in range(n):
+            at = np.flatnonzero(x[i])
+            moved[i, pca._moved(np.array([i]), np.array([len(at)]), at, p, (1, rep))] = x[i, at]
+        moved = moved[:, moved.std(0) > 0]
+        values = np.linalg.svd((moved - moved.mean(0)) / moved.std(0, ddof=1), compute_uv=False)[:11] ** 2
+        hits += values / values.sum() >= shares
+    hits[-1] = 3
+    assert [r.p for r in test] == pytest.approx(np.maximum.accumulate(hits / 3).tolist())
+    first = pca.shuffled_scores(df, 3, 1).orderBy("cell_id").collect()
+    assert first == pca.shuffled_scores(df.repartition(3), 3, 1).orderBy("cell_id").collect() or np.allclose([r.pc for r in first], [r.pc for r in pca.shuffled_scores(df.repartition(3), 3, 1).orderBy("cell_id").collect()])
+    with pytest.raises(ValueError):
+        pca.pca(df.limit(1), 12)
+
+
+def test_repeated_components_are_all_found():
+    rng = np.random.default_rng(33)
+    one = np.where(rng.random((60, 40)) < 0.2, 1.0, 0.0)
+    x = np.kron(np.eye(30), one)
+    got, vectors = pca._leading(lambda v: x.T @ (x @ v), 1200, 49, 1e-9)
+    want = np.linalg.eigvalsh(x.T @ x)[::-1][:49]
+    assert np.allclose(got, want) and np.allclose(x.T @ (x @ vectors), vectors * got) and np.allclose(vectors.T @ vectors, np.eye(49))
+
+
 def test_shuffled_runs_cluster_a_pca_of_the_shuffle(spark, monkeypatch):
     rng = np.random.default_rng(8)
     x = rng.normal(size=(30, 3)) @ rng.normal(size=(3, 6)) + np.arange(6)
