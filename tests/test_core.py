@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from varve.functions import stats
 from varve.model import Project, current, first_match
-from varve.operators import calibration, diffexp, expression, graph, pca, qc, reduce, similarity
+from varve.operators import calibration, diffexp, expression, graph, packed, pca, qc, reduce, similarity
 from varve.plans import retail
 from varve.sources import matrices
 
@@ -369,6 +369,33 @@ def test_grid_holds_the_run_made_alone(spark):
         calibration.cluster_grid(df, 3, [0.99], 1)
 
 
+def test_graphs_of_many_neighbours_are_packed_without_loss(spark, monkeypatch):
+    rng = np.random.default_rng(23)
+    x = np.round(rng.normal(size=(90, 3)) @ rng.normal(size=(3, 6)) + 3 * (np.arange(90) % 3)[:, None] * rng.normal(size=6), 1)
+    x[7] = x[40] = x[80]
+    df = spark.createDataFrame([(7 * i - 50, v.tolist()) for i, v in enumerate(x)], "cell_id bigint, v array<double>")
+    plain = calibration.cluster_grid(df, 3, [0.15, 0.3], 1)
+    monkeypatch.setattr(packed, "WIDE", 10)
+    monkeypatch.setattr(packed, "ROWS", 16)
+    for name in ("knn", "jaccard_edges"):  # these have a row for every neighbour, or for more
+        monkeypatch.setattr(graph, name, None)
+    wide = calibration.cluster_grid(df, 3, [0.15, 0.3], 1)
+    runs = [{(r.kind, r.rep, r.knn_ratio): (r.n_clusters, r.modularity) for r in t[0].collect()} for t in (plain, wide)]
+    assert len(runs[0]) == 4 and runs[0].keys() == runs[1].keys()
+    for key, (n, q) in runs[0].items():
+        assert runs[1][key] == (n, pytest.approx(q))
+    members = [sorted(map(tuple, t[1].collect())) for t in (plain, wide)]
+    assert members[0] == members[1] and len({m[5] for m in members[0]}) > 2
+
+
+def test_shared_bits_of_long_rows():
+    rng = np.random.default_rng(24)
+    rows, line = rng.integers(0, 2**64, (3, 2104), dtype=np.uint64), np.full(2104, 2**64 - 1, np.uint64)
+    rows[1] = line
+    got = packed.shared_bits(2104, 2)(rows, np.array([2, 1, 0, 1]), line)
+    assert got.tolist() == [sum(int(w).bit_count() for w in rows[i]) for i in (2, 1, 0, 1)]
+
+
 def test_similarity_helpers(spark):
     pairs = spark.createDataFrame([("a", "b", 0.9), ("a", "c", 0.2), ("b", "c", 0.1)], "cluster1 string, cluster2 string, similarity double")
     assert {r.cluster: r.degree for r in similarity.degrees(pairs).collect()} == {"a": 2, "b": 1, "c": 1}
