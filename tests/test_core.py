@@ -582,6 +582,22 @@ def test_from_variable_genes_to_clusters(spark):
         pipeline.cluster_cells(norm, cells, genes, max_pcs=12, reps=2, threshold=-1.0)
 
 
+def test_no_variable_genes_give_no_components(spark, monkeypatch):
+    from varve.operators import pipeline
+
+    cells = spark.createDataFrame([(i,) for i in range(6)], "cell_id bigint")
+    norm = spark.createDataFrame([(i, g, 1.0 + i * (g == 2)) for i in range(6) for g in (1, 2)], "cell_id bigint, gene_id int, norm double")
+    for genes in ([], [(1,)], [(2,)]):  # none, one that doesn't vary, only one
+        chosen = spark.createDataFrame(genes, "gene_id int")
+        features, loadings, test, count = pipeline.components(norm, cells, chosen, max_pcs=5, reps=2)
+        assert features.count() == 6 and test.dtypes == [("pc", "int"), ("var_share", "double"), ("p", "double")]
+        assert loadings.columns == ["gene_id", "pc", "loading"] and (loadings.count(), test.count(), count) == (0, 0, 0)
+        with pytest.raises(ValueError, match="varying features"):
+            pipeline.cluster_cells(norm, cells, chosen, ratios=(0.3,), n_pcs=2, shuffles=1, max_pcs=5, reps=2)
+    monkeypatch.setattr(retail, "_variable", lambda spark, d: (norm, cells, chosen.limit(0)))
+    assert retail.variable_components(spark, "").count() == 0 and retail.variable_clusters(spark, "").count() == 0
+
+
 def test_cell_cycle_scores(spark):
     rng = np.random.default_rng(15)
     x = rng.gamma(1.0, 1.0, (20, 140)) * (rng.random((20, 140)) < 0.6)  # no two genes tie
