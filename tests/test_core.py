@@ -582,6 +582,24 @@ def test_from_variable_genes_to_clusters(spark):
         pipeline.cluster_cells(norm, cells, genes, max_pcs=12, reps=2, threshold=-1.0)
 
 
+def test_shuffle_files_of_finished_plans_are_removed(spark, tmp_path):
+    import time
+
+    from varve.session import Scratch
+
+    files = lambda: spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+    scratch = Scratch(spark, "settle")
+    for i in range(6):
+        scratch.save(spark.range(10_000).groupBy((F.col("id") % (977 + i)).alias("k")).count(), "sums")
+    held = files()
+    scratch.settle()
+    for _ in range(100):
+        if files() < held:
+            break
+        time.sleep(0.1)
+    assert files() < held and spark.read.parquet(scratch.last["sums"]).count() == 982
+
+
 def test_no_variable_genes_give_no_components(spark, monkeypatch):
     from varve.operators import pipeline
 

@@ -23,7 +23,10 @@ def _data(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]
 def _kept(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The data with the counts saved, for plans that read them more than once."""
     counts, cells, genes = _data(spark, d)
-    return Scratch(spark, "counts").save(counts, "counts"), cells, genes
+    scratch = Scratch(spark, "counts")
+    counts = scratch.save(counts, "counts")
+    scratch.settle()
+    return counts, cells, genes
 
 
 def _metrics(spark: SparkSession, d: str) -> DataFrame:
@@ -154,6 +157,7 @@ def _variable(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFr
     """Normalised counts, cells and the genes that vary most in a segment."""
     scratch = Scratch(spark, "variable")
     norm, cells = (scratch.save(x, n) for x, n in zip(_passed(spark, d), ("norm", "cells"), strict=True))
+    scratch.settle()
     return norm, cells, expression.variable_genes(norm, cells, min_z=2.5).select("gene_id").distinct()
 
 
